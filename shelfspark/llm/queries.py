@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, mixing, pii, quality_rules, sentencepiece_codec, urls
+from . import classifier, mixing, oracles, pii, quality_rules, sentencepiece_codec, substrings, topk, urls
 from .common import table
 
 
@@ -39,9 +39,22 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), sentencepiece_codec.Vocabulary.load())
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_url_filters, op4_quality_rules, op5_quality_classifier, op6_mixing, op7_sentencepiece)}
+    return {f.__name__: f for f in (op1_pii, op2_url_filters, op4_quality_rules, op5_quality_classifier, op6_mixing, op7_sentencepiece, op8_topk, op9_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_url_filters": oracles.url_filters(),
+        "op8_topk": oracles.TOP_K,
+        "op9_substrings": oracles.SUBSTRINGS,
+    }
