@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, mixing, oracles, pii, quality_rules, sentencepiece_codec, substrings, topk, urls
+from . import classifier, jaccard, mixing, oracles, pii, quality_rules, sentencepiece_codec, substrings, topk, urls
 from .common import table
 
 
@@ -48,8 +48,12 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_url_filters, op4_quality_rules, op5_quality_classifier, op6_mixing, op7_sentencepiece, op8_topk, op9_substrings)}
+    return {f.__name__: f for f in (op1_pii, op2_url_filters, op4_quality_rules, op5_quality_classifier, op6_mixing, op7_sentencepiece, op8_topk, op9_substrings, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -57,4 +61,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filters": oracles.url_filters(),
         "op8_topk": oracles.TOP_K,
         "op9_substrings": oracles.SUBSTRINGS,
+        "op10_jaccard": oracles.JACCARD,
     }
