@@ -156,17 +156,17 @@ def _score(model: Model, extra: list[str]):
     def run(batches):
         memory = common.WordHash()
         for batch in batches:
-            score = [model.score(features(t, memory)) for t in common.string_rows(batch.column("text_bytes"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in extra), pa.array(score, pa.float64())], [*extra, "score"])
+            score = [model.score(features(t, memory)) for t in common.string_rows(batch.column("__text"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in extra), pa.array(score, pa.float64())], [*extra, "__score"])
 
     return run
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of docs and score, for each row.  A null text is scored as an empty one."""
+    """The columns ``keep`` of docs and __score, for each row.  A null text is scored as an empty one."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    rows = docs.select(*keep, common.text_bytes().alias("text_bytes"))
-    return rows.mapInArrow(_score(model, keep), f"{schema}, score double")
+    rows = docs.select(*keep, common.text_bytes().alias("__text"))
+    return rows.mapInArrow(_score(model, keep), f"{schema}, __score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
@@ -177,4 +177,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     gives an empty result.  Of docs only doc_id and text are read."""
     model = train(docs, labels, sample)
     out = scored(docs, model, ["doc_id"])
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("__score").alias("score"), F.when(F.col("__score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, jaccard, mixing, oracles, pii, quality_rules, sentencepiece_codec, substrings, topk, urls
+from . import classifier, jaccard, lines, mixing, oracles, pii, quality_rules, sentencepiece_codec, substrings, topk, urls
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
@@ -53,7 +58,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_url_filters, op4_quality_rules, op5_quality_classifier, op6_mixing, op7_sentencepiece, op8_topk, op9_substrings, op10_jaccard)}
+    return {f.__name__: f for f in (op1_pii, op2_url_filters, op3_line_dedup, op4_quality_rules, op5_quality_classifier, op6_mixing, op7_sentencepiece, op8_topk, op9_substrings, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
