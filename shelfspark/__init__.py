@@ -1,0 +1 @@
+"""A Spark-native catalogue engine for ebook collections."""
