@@ -1,0 +1,83 @@
+import os
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from shelfspark.llm import sentencepiece_codec as sp
+
+from .conftest import ODD_TEXTS
+
+pytestmark = pytest.mark.skipif(not os.path.exists(sp.DEFAULT_MODEL), reason="no vocabulary here")
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return sp.Codec(sp.Vocabulary.load())
+
+
+def small():
+    pieces = ["a", "b", "ab", "abc", "bc", "ca", "▁", "▁a", "▁ab", "▁▁", "cab"]
+    scores = [-1.0, -1.5, -2.0, -2.25, -2.25, -2.0, -1.0, -1.5, -2.5, -1.75, -2.0]
+    every = [f"<0x{b:02X}>" for b in range(256)]
+    return sp.Vocabulary(pieces + every + ["<unk>"], scores + [0.0] * 257, ["n"] * len(pieces) + ["b"] * 256 + ["c"])
+
+
+def best_score(vocabulary, text, longest=8):
+    """Over all ways to cut the text, by plain dynamic programming."""
+    score = {p: s for p, s, k in zip(vocabulary.pieces, vocabulary.scores, vocabulary.kinds, strict=True) if k == "n"}
+    unknown, best = min(score.values()) - 10, [0.0]
+    for end in range(1, len(text) + 1):
+        options = [best[start] + score[text[start:end]] for start in range(max(0, end - longest), end) if text[start:end] in score]
+        if text[end - 1] not in score:
+            options.append(best[end - 1] + unknown)
+        best.append(max(options))
+    return best[-1]
+
+
+def scored(codec, ids):
+    """The score of ids, bytes of one character counting as one unknown."""
+    v, total, spelled = codec.v, 0.0, b""
+    for i in ids:
+        if v.kinds[i] == "b":
+            spelled += codec.out[i]
+        else:
+            total += v.scores[i]
+    return total + codec.unknown * len(spelled.decode())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abc xé\n", max_size=14))
+def test_best_path(text):
+    codec = sp.Codec(small())
+    body = sp.META + text.replace(" ", sp.META)
+    assert scored(codec, codec.encode(text)) == pytest.approx(best_score(codec.v, body) if text else 0.0)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_round_trip(codec, text):
+    assert codec.decode(codec.encode(text)) == text
+
+
+@pytest.mark.parametrize("text", ["", " ", "  a", "▁x▁ y", "\n\n z\t", "日本語 émoji 😀", "a\x00b", "▁", " ▁ "])
+def test_round_trip_of_spaces(codec, text):
+    assert codec.decode(codec.encode(text)) == text
+
+
+def test_real_vocabulary_gives_best_paths(codec):
+    text = "The quick brown fox, jumping over 12 lazy dogs; naïve façade"
+    body = sp.META + text.replace(" ", sp.META)
+    assert scored(codec, codec.encode(text)) == pytest.approx(scored(codec, codec.best(body))) == pytest.approx(best_score(codec.v, body, 64))
+
+
+def test_frame(docs):
+    vocabulary = sp.Vocabulary.load()
+    frame = docs([*ODD_TEXTS, "some text", "some text", (None, "x")])
+    out = sp.encode_documents(frame, vocabulary)
+    rows = out.collect()
+    assert len(rows) == len(ODD_TEXTS) + 3 and all(r.round_trip and r.n_ids == len(r.ids) for r in rows)
+    back = {r.doc_id: r.text for r in sp.decode_documents(out, vocabulary).collect()}
+    assert all(back[k] == (t or "") for k, t in enumerate(ODD_TEXTS))
+    assert sp.encode_documents(frame.where("false"), vocabulary).count() == 0
+    assert sp.encode_documents(frame, vocabulary, ("doc_id", "lang", "n_chars")).columns == ["doc_id", "lang", "n_chars", "ids", "n_ids", "round_trip"]
