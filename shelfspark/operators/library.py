@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from .resolve import FIELDS, fallback
 
 NO_SUBCATEGORY = "(No subcategory)"
 #: Change either to make every cached row stale.
@@ -48,8 +49,6 @@ def cache_next(cache: DataFrame, files: DataFrame, extracted: DataFrame) -> Data
 def filled(extracted: DataFrame, junk_tags: list[str]) -> DataFrame:
     """title, author and year with what the file name gives where they are empty; also for files that failed."""
     out = extracted.withColumn("_h", text.parse_stem(paths.stem(F.col("source_path")), junk_tags))
-    from .resolve import FIELDS, fallback
-
     return out.withColumns({f: fallback(F.col(f), F.col(f"_h.{f}")) for f in FIELDS}).drop("_h")
 
 
@@ -60,7 +59,8 @@ def with_overrides(files: DataFrame, overrides: DataFrame, page_covers: DataFram
     p = page_covers.select("source_path", F.col("page").alias("_page"), F.col("cover_path").alias("_cover"))
     out = files.join(o, "source_path", "left").join(p, ["source_path", "_page"], "left")
     cover = F.when(F.col("_type") == "custom", F.coalesce("_image", F.lit(""))).when(F.col("_type") == "embedded", F.coalesce("_cover", F.lit(""))).otherwise(F.col("cover_path"))
-    return out.withColumns({"cover_path": cover, "cover_overridden": F.col("_type").isNotNull()}).select(*files.columns, "cover_overridden") if "cover_overridden" not in files.columns else out.withColumns({"cover_path": cover, "cover_overridden": F.col("_type").isNotNull()}).select(*files.columns)
+    names = list(dict.fromkeys([*files.columns, "cover_overridden"]))
+    return out.withColumns({"cover_path": cover, "cover_overridden": F.col("_type").isNotNull()}).select(*names)
 
 
 def categories(books: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def search(books: DataFrame, query: str = "", category: str = "", subcategory: s
 
 
 def _sort_key(sort_by: str):
-    # at byte level, so that a sort by range of keys is possible; equal keys keep the order of source_path
+    # in the order of a reader's language; equal keys keep the order of source_path
     return F.collate(F.col(sort_by), "UNICODE")
 
 
@@ -100,8 +100,6 @@ def shelves(books: DataFrame, sort_by: str = "title") -> DataFrame:
     Flat rows rather than nested ones, so that no shelf has to fit a task.  Categories merge unless filtered before."""
     if sort_by not in ("title", "author", "year"):
         raise ValueError("sort_by must be title, author or year")
-    from pyspark.sql import Window
-
     named = books.withColumn("shelf", F.when(F.col("subcategory") == "", NO_SUBCATEGORY).otherwise(F.col("subcategory")))
     order = Window.partitionBy("shelf").orderBy(_sort_key(sort_by), "source_path")
     return named.withColumn("place", F.row_number().over(order)).orderBy(F.collate("shelf", "UNICODE"), "place")
