@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def _score(model: Model, extra: list[str]):
     def run(batches):
         memory = common.WordHash()
-        for batch in batches:
+        for batch in common.slices(batches):
             score = [model.score(features(t, memory)) for t in common.string_rows(batch.column("__text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in extra), pa.array(score, pa.float64())], [*extra, "__score"])
 

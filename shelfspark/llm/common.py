@@ -11,13 +11,14 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most words that a Python worker remembers the hash of (about 200 bytes each).
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 #: Most rows of a side that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -98,6 +99,15 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def slices(batches: Iterable, rows: int = 256) -> Iterable:
+    """Parts of Arrow batches, for work whose results are much larger than its texts.  Memory that Arrow no longer uses
+    is given back, as a worker goes on to other tasks."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def string_rows(column) -> Iterable[bytes]:
     """The values of an Arrow binary column, null as empty."""
     return (x or b"" for x in column.to_pylist())

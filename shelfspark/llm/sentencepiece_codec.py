@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 META = "▁"
-CACHED = 200_000
+CACHED = 100_000
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -133,7 +133,7 @@ class Codec:
 def _encoder(vocabulary: Vocabulary, keep: list[str]):
     def run(batches):
         codec = Codec(vocabulary)
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = [x or "" for x in batch.column("text_").to_pylist()]
             ids = [codec.encode(t) for t in texts]
             same = [codec.decode(i) == t for i, t in zip(ids, texts, strict=True)]
@@ -157,7 +157,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, .
 def _decoder(vocabulary: Vocabulary, keep: list[str]):
     def run(batches):
         codec = Codec(vocabulary)
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = [codec.decode(x or ()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
