@@ -57,9 +57,8 @@ SPANS = re.compile(
 NAMED = re.compile(_NAME, re.IGNORECASE)
 BRACKET = re.compile(r"[\[({<]")
 BRACKETED = re.compile(rf"{_OPEN}\s*(?:at|arroba|@|dot|punto|punkt|point|\.)\s*{_CLOSE}", re.IGNORECASE)
-SPELLED = re.compile(rf"(?:{_NAME})[\s,-]{{1,3}}(?:{_NAME})[\s,-]{{1,3}}(?:{_NAME})", re.IGNORECASE)
-_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,-", b"abcdefghijklmnopqrstuvwxyz  ")
-_NAMES = frozenset(x.encode() for x in DIGIT_NAMES)
+#: A word that SPANS needs where there is no bracket; "at" needs a dot as well.
+TELLING = re.compile(rf"\b(?:dot|plus|{_NAME})\b", re.IGNORECASE)
 ODD = re.compile("[" + re.escape("".join(LOOK_ALIKES)) + ZERO_WIDTH + r"！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
 
 
@@ -131,7 +130,8 @@ def _words(text: str):
             at = m.start()
             for d in NAMED.finditer(text, *m.span()):
                 # the separator before a digit goes with it, so that digits of one number stand together
-                yield at, d.end(), DIGIT_NAMES[d.group().lower()]
+                # İ and ſ match i and s
+                yield at, d.end(), DIGIT_NAMES[d.group().replace("İ", "i").casefold()]
                 at = d.end()
         else:
             yield *m.span(), {"at": "@", "dot": ".", "plus": "+"}[m.lastgroup]
@@ -151,15 +151,12 @@ def _trim(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def hinted(text: str) -> bool:
-    """Whether a transducer has anything to do: a look-alike, a bracketed at or dot, the word dot, or three digit names in a row."""
+    """Whether a transducer may have anything to do: true of every text with a match of ODD or SPANS."""
     if not text.isascii() and ODD.search(text):
         return True
     if BRACKET.search(text) and BRACKETED.search(text):
         return True
-    words = text.encode("utf-8", "replace").translate(_FOLD).split()
-    if b"dot" in words:
-        return True
-    return not _NAMES.isdisjoint(words) and SPELLED.search(text) is not None
+    return TELLING.search(text) is not None
 
 
 def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -80,3 +80,27 @@ def test_frame(docs):
 def test_redaction(docs):
     got = [r.text for r in pii.redact_pii(docs([(1, "to j\u043ehn@example.com, 10.0.0.1."), (2, None)])).orderBy("doc_id").collect()]
     assert got == ["to [EMAIL], [IP].", None]
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("plus 44 20 7946 0958", [("phone", "plus 44 20 7946 0958")]),
+        ("+44 two zero 7946 0958", [("phone", "+44 two zero 7946 0958")]),
+        ("four 1 one 1 1 1 1 1 1 1 1 1 1 1 1 1", [("card", "four 1 one 1 1 1 1 1 1 1 1 1 1 1 1 1")]),
+        ("192.168.one.one", [("ip", "192.168.one.one")]),
+        ("192.168.\u017fix.F\u0130VE", [("ip", "192.168.\u017fix.F\u0130VE")]),
+    ],
+)
+def test_disguises_of_few_words(text, found):
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.spans_of(text)[1]] == found
+
+
+PARTS = ["plus", "+", "44", "one", "Two", "zero", "dot", "DOT", "at", "(at)", "[dot]", "{ . }", "<punkt>", ".", "-", ",", " ", "  ", "1", "192.168", "a", "bob", "example", "com", "@", "\n", "\u0430", "\u017fix", "_", "7946 0958", "4111 1111"]
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
+def test_gate_changes_no_result(text):
+    if pii.normalise(text).text != text:
+        assert pii.hinted(text)
