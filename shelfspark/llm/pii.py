@@ -6,7 +6,10 @@ brackets), each of which keeps, for every character that it writes, the span of
 character stands for.  The same four detectors run on the normalised text and their spans are mapped back.
 A span that a base span of its kind already covers is not repeated.
 
-Only texts that hold something a transducer changes are normalised; that saves time and changes no result.
+Only texts that hold something a transducer may change are normalised; that saves time and changes no result.
+
+"X at Y dot Z" without brackets is an address only if Z, or a later label of the host, is one of ENDINGS and Y is not one
+of NO_HOSTS: in prose both words are common.  Every pattern is linear in the text.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match never starts within a run of digits: what follows the run decides for all its digits alike.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -44,20 +49,26 @@ DIGIT_NAMES = {
 }
 ZERO_WIDTH = "​‌‍⁠﻿­"
 _NAME = "|".join(sorted(DIGIT_NAMES, key=len, reverse=True))
+# Last labels of hosts that are written out without brackets; labels that are words of prose (it, in, me) are not among them.
+ENDINGS = frozenset("com org net edu gov mil int info biz name io ai app dev tv cc uk de fr es nl ch pt eu pl se dk fi cz ru ua jp cn kr br mx ca au nz".split())
+# Articles and pronouns, which are no hosts.
+NO_HOSTS = frozenset("the a an this that these those my your his her its our their der die das ein eine le la les un une el los las una".split())
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_DOT = rf"(?:\s*{_OPEN}\s*(?:dot|punto|punkt|point|\.)\s*{_CLOSE}\s*|\s+dot\s+)"
-_HOST = r"[A-Za-z0-9-]{1,63}"
-SPANS = re.compile(
-    rf"(?P<at>\s*{_OPEN}\s*(?:at|arroba|@)\s*{_CLOSE}\s*(?={_HOST}(?:{_DOT}|\.)[A-Za-z0-9])|(?<=[A-Za-z0-9])\s+at\s+(?={_HOST}(?:\.{_HOST}|{_DOT}{_HOST}){{0,4}}{_DOT}[A-Za-z]{{2}}))"
-    rf"|(?P<dot>{_DOT}(?=[A-Za-z0-9]))"
-    rf"|(?P<plus>\bplus\s+(?=(?:(?:{_NAME})\b|[0-9])))"
+_BRACKETED_DOT = rf"{_OPEN}\s*(?:dot|punto|punkt|point|\.)\s*{_CLOSE}"
+#: What a change starts from; blanks around it are looked at from there, so that none is read again and again.
+CORE = re.compile(
+    rf"(?P<at>{_OPEN}\s*(?:at|arroba|@)\s*{_CLOSE})|(?P<dot>{_BRACKETED_DOT})|\b(?P<plain_at>at)\b|\b(?P<plain_dot>dot)\b|\b(?P<plus>plus)\b"
     rf"|(?P<digits>\b(?:{_NAME})(?:[\s,-]{{1,3}}(?:{_NAME}))*\b)",
     re.IGNORECASE,
 )
+LABEL = re.compile(r"[A-Za-z0-9-]++")
+STOP = re.compile(rf"\.|\s*+{_BRACKETED_DOT}\s*+|\s++dot\s++", re.IGNORECASE)
+NUMBER = re.compile(rf"[0-9]|(?:{_NAME})\b", re.IGNORECASE)
+ALNUM = re.compile(r"[A-Za-z0-9]")
 NAMED = re.compile(_NAME, re.IGNORECASE)
 BRACKET = re.compile(r"[\[({<]")
 BRACKETED = re.compile(rf"{_OPEN}\s*(?:at|arroba|@|dot|punto|punkt|point|\.)\s*{_CLOSE}", re.IGNORECASE)
-#: A word that SPANS needs where there is no bracket; "at" needs a dot as well.
+#: A word that CORE needs where there is no bracket; "at" needs a dot as well.
 TELLING = re.compile(rf"\b(?:dot|plus|{_NAME})\b", re.IGNORECASE)
 ODD = re.compile("[" + re.escape("".join(LOOK_ALIKES)) + ZERO_WIDTH + r"！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
 
@@ -75,6 +86,11 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, end))
 
 
+def _at_most_255(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def _luhn(digits: str) -> bool:
     odd = sum(map(int, digits[-1::-2]))
     return (odd + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
@@ -84,7 +100,7 @@ def detect(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base patterns, by kind; matches that fail their test are dropped."""
     out = [(0, *m) for m in _emails(text)] if "@" in text else []
     if DIGIT.search(text):
-        out += [(1, *m.span()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split("."))]
+        out += [(1, *m.span()) for m in IP.finditer(text) if all(_at_most_255(x) for x in m.group().split("."))]
         for m in CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and _luhn(digits):
@@ -123,18 +139,92 @@ def _plain(c: str) -> str:
     return str(unicodedata.digit(c))
 
 
+def _blanks(text: str, start: int, end: int, floor: int) -> tuple[int, int]:
+    """start and end moved outwards over blanks, not before floor."""
+    while start > floor and text[start - 1].isspace():
+        start -= 1
+    while end < len(text) and text[end].isspace():
+        end += 1
+    return start, end
+
+
+class Hosts:
+    """Host names that are written out, each read once from the first label that is asked for."""
+
+    def __init__(self, text: str):
+        self.text, self.read, self.named = text, -1, -1
+        self.stops: list[tuple[int, bool]] = []
+
+    def _chain(self, at: int) -> None:
+        """Labels and stops from at on.  named: where the last label of ENDINGS that follows a stop ends."""
+        if at <= self.read:
+            return
+        self.stops, self.named, stop = [], -1, None
+        while m := LABEL.match(self.text, at):
+            if stop and m.group().lower() in ENDINGS:
+                self.named = m.end()
+            self.read = at
+            if not (stop := STOP.match(self.text, m.end())):
+                return
+            self.stops.append((m.end(), stop.group() != "."))
+            at = stop.end()
+
+    def goes_on(self, at: int) -> bool:
+        """Whether the label at ``at`` or a later one ends a host that is named in full."""
+        m = LABEL.match(self.text, at)
+        if not m:
+            return False
+        if m.group().lower() in ENDINGS:
+            return True
+        self._chain(at)
+        return at < self.named
+
+    def address(self, at: int) -> bool:
+        """Whether a host with a stop in words starts here."""
+        m = LABEL.match(self.text, at)
+        if not m or m.group().lower() in NO_HOSTS:
+            return False
+        self.read = -1
+        self._chain(at)
+        return any(told and end < self.named for end, told in self.stops)
+
+
 def _words(text: str):
     """Changes for disguises made of words."""
-    for m in SPANS.finditer(text):
-        if m.lastgroup == "digits":
-            at = m.start()
-            for d in NAMED.finditer(text, *m.span()):
+    hosts, floor = Hosts(text), 0
+    for m in CORE.finditer(text):
+        kind, (start, end) = m.lastgroup, m.span()
+        if kind == "digits":
+            at = start
+            for d in NAMED.finditer(text, start, end):
                 # the separator before a digit goes with it, so that digits of one number stand together
                 # İ and ſ match i and s
                 yield at, d.end(), DIGIT_NAMES[d.group().replace("İ", "i").casefold()]
                 at = d.end()
-        else:
-            yield *m.span(), {"at": "@", "dot": ".", "plus": "+"}[m.lastgroup]
+            floor = end
+            continue
+        a, b = _blanks(text, start, end, floor)
+        if kind == "plus":
+            if b == end or not NUMBER.match(text, b):
+                continue
+            a = start
+        elif kind == "at":
+            label = LABEL.match(text, b)
+            stop = label and STOP.match(text, label.end())
+            if not stop or not ALNUM.match(text, stop.end()):
+                continue
+        elif kind == "dot":
+            if not ALNUM.match(text, b):
+                continue
+        elif a == start or b == end:
+            continue
+        elif kind == "plain_at":
+            if not a or not ALNUM.match(text, a - 1) or not hosts.address(b):
+                continue
+        elif not (NUMBER.match(text, b) or hosts.goes_on(b)):
+            continue
+        yield a, b, {"at": "@", "dot": ".", "plus": "+"}[kind.removeprefix("plain_")]
+        floor = b
 
 
 def normalise(text: str) -> Tape:
@@ -151,7 +241,7 @@ def _trim(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def hinted(text: str) -> bool:
-    """Whether a transducer may have anything to do: true of every text with a match of ODD or SPANS."""
+    """Whether a transducer may have anything to do: true of every text that normalise() changes."""
     if not text.isascii() and ODD.search(text):
         return True
     if BRACKET.search(text) and BRACKETED.search(text):
@@ -164,10 +254,13 @@ def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     if not hinted(text):
         return []
     tape, out = normalise(text), set()
+    # base spans of a kind lie apart, in order: only the last that starts at or before a span may cover it
+    own = [[x[1:] for x in base if x[0] == kind] for kind in range(len(KINDS))]
     for kind, a, b in detect(tape.text):
-        found = (kind, *_trim(text, tape.start[a], tape.end[b - 1]))
-        if not any(k == kind and s <= found[1] and found[2] <= e for k, s, e in base):
-            out.add(found)
+        start, end = _trim(text, tape.start[a], tape.end[b - 1])
+        at = bisect_right(own[kind], start, key=lambda x: x[0])
+        if not at or own[kind][at - 1][1] < end:
+            out.add((kind, start, end))
     return sorted(out)
 
 
@@ -222,5 +315,7 @@ def _redactor(batches):
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
-    """docs with every found span of text replaced; a null text stays null."""
+    """docs with every found span of text replaced by its kind in brackets; other columns stay, whatever their names.
+
+    A null text stays null, an empty one empty.  Repeated rows are each redacted; an empty table gives an empty result."""
     return docs.mapInArrow(_redactor, docs.schema)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -104,3 +105,42 @@ PARTS = ["plus", "+", "44", "one", "Two", "zero", "dot", "DOT", "at", "(at)", "[
 def test_gate_changes_no_result(text):
     if pii.normalise(text).text != text:
         assert pii.hinted(text)
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
+def test_same_as_without_gate(text):
+    base, tape = pii.detect(text), pii.normalise(text)
+    every = {(k, *pii._trim(text, tape.start[a], tape.end[b - 1])) for k, a, b in pii.detect(tape.text)}
+    every = {x for x in every if not any(k == x[0] and a <= x[1] and x[2] <= b for k, a, b in base)}
+    assert pii.disguised(text, base) == sorted(every)
+
+
+@pytest.mark.parametrize("text", ["Look at this dot matrix", "he arrived at home dot everything fine", "reach me at the dot net era", "we stood at noon dot by dot", "a at b dot in the end"])
+def test_prose_is_no_address(text):
+    assert pii.spans_of(text) == ([], [])
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("john at example\u2028dot\u2028com", "john at example\u2028dot\u2028com"),
+        ("ann at mail.example dot co dot uk Then", "ann at mail.example dot co dot uk"),
+        ("ann at " + "x" * 80 + " dot " + "dot ".join(["y "] * 9) + "dot org", "ann at " + "x" * 80 + " dot " + "dot ".join(["y "] * 9) + "dot org"),
+    ],
+)
+def test_hosts_in_words(text, found):
+    assert [text[a:b] for _, a, b in pii.spans_of(text)[1]] == [found]
+
+
+def test_long_runs_of_digits():
+    text = "0" * 5000 + ".1.1.1 and " + "1" * 5000 + ".1.1.1"
+    assert pii.detect(text)[0] == (1, 0, 5006) and sum(k == 1 for k, _, _ in pii.detect(text)) == 1
+
+
+@pytest.mark.parametrize("part", ["a [at] b ", "at a dot ", " ", "1", "1.", "[ ", "a.", "+1(", "one ", "a@", "a at at dot "])
+def test_long_texts_take_linear_time(part):
+    text = "a [at] b" + part * (1_000_000 // len(part)) + "z"
+    began = time.process_time()
+    pii.spans_of(text)
+    assert time.process_time() - began < 12
