@@ -6,6 +6,9 @@ ASCII characters, so the operators that run Python read texts as UTF-8 bytes.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -15,12 +18,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most words that a Python worker remembers the hash of (about 200 bytes each).
 CACHED_WORDS = 200_000
-#: Most rows of a side that is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Most bytes of a side that is broadcast, as estimated from its rows; beyond it the join shuffles.
+BROADCAST_BYTES = 48 << 20
 
 _FALLBACK: dict[str, str] = {}
 
@@ -30,23 +34,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset, as in local tests."""
+    """The folder in spark.checkpoint.dir.  Where that is unset, a temporary one if all of Spark is in this process (master
+    local), as in tests; on a cluster executors would not see it, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="shelfspark-")
+        atexit.register(shutil.rmtree, _FALLBACK[app].removeprefix("file://"), ignore_errors=True)
     return _FALLBACK[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: its lineage ends there, and the
-    loss of an executor costs nothing that was written."""
+    loss of an executor costs nothing that was written.  discard() removes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shelf_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes what written() wrote for these frames.  For tables that only other written tables were made from: a result that
+    is still to be computed must not read them."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._shelf_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spark_partitions(spark: SparkSession) -> int:
@@ -58,9 +77,25 @@ def text_bytes(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
-def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most ``most`` rows; as it is, and so shuffled, otherwise."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _weight(column, kind):
+    """About the bytes of a value, as a Column."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, T.StructType | T.StringType | T.BinaryType | T.ArrayType):
+            return F.coalesce(F.aggregate(column, F.lit(16).cast("long"), lambda n, x: n + _weight(x, inner)), F.lit(16))
+        return 16 + 8 * F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((_weight(column[f.name], f.dataType) for f in kind), F.lit(16))
+    return F.lit(8)
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows take at most about ``most`` bytes, which are summed first; as it is, and so
+    shuffled, otherwise.  df should be cheap to read twice: a written table."""
+    row = sum((_weight(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(24)).cast("long")
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= most else df
 
 
 class WordHash(dict):

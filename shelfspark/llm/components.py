@@ -42,7 +42,9 @@ def components(edges: DataFrame) -> DataFrame:
     before, mark = None, _mark(now)
     while mark[0] and mark != before:
         star = common.written(_pointed(_large_star(now)), "edges")
+        common.discard(now)
         now = common.written(_pointed(_small_star(star)), "edges")
+        common.discard(star)
         before, mark = mark, _mark(now)
     ends = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return ends.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -50,8 +50,8 @@ def _counter(batches):
 def fit_ratio(docs: DataFrame, trusted_ids: DataFrame) -> np.ndarray:
     """log(p_trusted / p_corpus) by bucket, with one added to each count; zeros if nothing is trusted.
 
-    trusted_ids: doc_id.  It is broadcast up to common.BROADCAST_ROWS rows, and joined by a shuffle beyond."""
-    ids = common.small_side(trusted_ids.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct())
+    trusted_ids: doc_id.  It is broadcast up to common.BROADCAST_BYTES bytes, and joined by a shuffle beyond."""
+    ids = common.small_side(common.written(trusted_ids.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct(), "rules-trusted"))
     rows = docs.select("doc_id", common.text_bytes().alias("text")).join(ids, F.col("doc_id") == F.col("t_id"), "left")
     rows = rows.select("text", F.col("t_id").isNotNull().alias("trusted"))
     counts = rows.mapInArrow(_counter, "bucket int, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
