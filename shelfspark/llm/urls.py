@@ -30,7 +30,7 @@ class Rule:
 #: The rules of the contract.
 RULES = (Rule("allow", "org"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
 #: The host of an absolute or scheme-relative link.
-LINK = r"""(?i)href\s{0,20}=\s{0,20}["']?(?:[a-z][a-z0-9+.-]{0,20}:)?//([^/?#"'\s<>]+)"""
+LINK = r"""(?i)href[\x20\x09-\x0D]*=[\x20\x09-\x0D]*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\x20\x09-\x0D<>]+)"""
 SALTS = 8
 
 
@@ -59,7 +59,7 @@ def rule_for(host: Column, path: Column, rules) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst: distinct links between different hosts."""
+    """src, dst: distinct links between different hosts.  Only absolute and scheme-relative links name a host."""
     links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.col("html"), F.lit(LINK), F.lit(1)))).alias("dst"))
     links = links.withColumn("dst", _lower(F.col("dst")))
     return links.where("src <> '' and dst <> '' and src <> dst").distinct()
@@ -70,16 +70,18 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 10, damping: flo
     rank = (1 - damping) * seed + damping * sum of the neighbours' rank / degree.
 
     Both directions go through one join a round.  Edges are dealt by (host, salt), so that the links of one
-    host spread over SALTS tasks, and sums are combined before the shuffle."""
+    host spread over SALTS tasks, and sums are combined before the shuffle.  A host that is repeated in seeds counts as often;
+    null hosts and null or zero shares say nothing.  Repeated edges count as often.  Without edges every host keeps
+    (1 - damping) of its seed; without seeds the result is empty.  Other columns of either are not read."""
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b")))
-    degree = both.groupBy("kind", "a").agg(F.count("*").alias("degree"))
-    both = common.written(both.join(degree, ["kind", "a"]).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")), "url-edges")
-    start = seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, seed)")).where("seed > 0")
-    start = start.withColumn("seed", F.col("seed") * (1 - damping))
+    salts = F.explode(F.array(*[F.lit(s) for s in range(SALTS)])).alias("salt")
+    degree = both.groupBy("kind", "a").agg(F.count("*").alias("degree")).select("kind", "a", "degree", salts)
+    both = common.written(both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(degree, ["kind", "a", "salt"]), "url-edges")
+    start = seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, seed)")).where("host is not null and seed > 0")
+    start = start.groupBy("host", "kind").agg((F.sum("seed") * (1 - damping)).alias("seed"))
     rank = start.withColumnRenamed("seed", "rank")
     for k in range(rounds):
-        spread = rank.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
-        sent = both.join(spread.select("kind", F.col("host").alias("a"), "salt", "rank"), ["kind", "a", "salt"])
+        sent = both.join(rank.select("kind", F.col("host").alias("a"), "rank", salts), ["kind", "a", "salt"])
         sent = sent.select("kind", F.col("b").alias("host"), (F.lit(damping) * F.col("rank") / F.col("degree")).alias("rank"))
         rank = sent.unionByName(start.select("kind", "host", F.col("seed").alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if k % 3 == 2 or k == rounds - 1:
