@@ -6,22 +6,20 @@ copy follows after the whole source.  All copies, in order of finish time, are t
 budget is spent, so that each source advances in proportion to its target.
 
 Scale: the running sums are taken in two levels (slices of about ``slice_rows`` documents of a source,
-then within a slice), so no task holds a source, however large.  The cut is found by narrowing a range of
-finish times with sums of ``BINS`` ranges at a time; nothing is sorted in one task but the few rows
-around the cut.
+then within a slice), so no task holds a source, however large.  Copies are sorted globally by ranges; the sums of the
+ranges tell where the budget ends, and only the range that it ends in is sorted further.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 WEIGHTS = (5, 2, 1)
-BINS = 2048
+#: Ranges of the global sort, at most.
+RANGES = 512
 #: Rows around the cut that one task may sort.
 NEAR_ROWS = 20_000
 
@@ -36,7 +34,8 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, most
     The budget is ``share`` of all sizes.  Sources in code-point order, null last, weigh ``weights`` in
     turn.  A target stops at ``most`` times its source's size and the excess goes to the others by
     weight: with caps c and weights w that is min(c, level * w) for the one level that spends the budget,
-    found by a running sum in order of c / w."""
+    found by a running sum in order of c / w.  The sources, not the documents, meet in one task.  An empty table gives an empty
+    result."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
     place = (F.row_number().over(order) - 1) % len(weights)
     got = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int")))
@@ -53,36 +52,33 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, most
     return got.select("source", "source_size", "n", "target", "budget")
 
 
-def _last_taken(copies: DataFrame, budget: float):
-    """(finish, place, id) of the last copy within the budget; None if there are no copies.
+def _last_taken(copies: DataFrame, budget: float, n: int):
+    """(finish, place, id) of the last copy within the budget and True, or of the first one beyond it and False; None if there
+    are no copies.  n: about how many there are.
 
-    Narrows (low, high], the range of finish times that holds the cut, until few rows are left."""
-    top = copies.agg(F.max("finish")).first()[0]
-    if top is None:
-        return None
-    low, high, spent = 0.0, float(top), 0.0
+    All copies are sorted globally by ranges.  The sums of the ranges tell which one crosses the budget; that one is sorted
+    by ranges again until few enough rows are left to sort in one task."""
+    order, spent, inside = ["finish", "place", "id"], 0, copies
     while True:
-        inside = copies.where((F.col("finish") > low) & (F.col("finish") <= high))
-        step = (high - low) / BINS
-        at = F.least(F.greatest(F.ceil((F.col("finish") - low) / step) - 1, F.lit(0)), F.lit(BINS - 1)) if step > 0 else F.lit(0)
-        found = inside.groupBy(at.alias("bin")).agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("finish").alias("a"), F.max("finish").alias("b"))
-        bins = sorted(found.collect(), key=lambda r: r["bin"])  # at most BINS rows
-        for r in bins:
-            if spent + r["s"] > budget or r is bins[-1]:
+        ranged = common.written(inside.repartitionByRange(max(2, min(RANGES, n // NEAR_ROWS)), *order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+        sums = ranged.groupBy("range").agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("finish").alias("a"), F.max("finish").alias("b"))
+        sums = sorted(sums.collect(), key=lambda r: r["range"])  # at most RANGES rows
+        if not sums:
+            return None
+        for r in sums:
+            if spent + r["s"] > budget or r is sums[-1]:
                 break
             spent += r["s"]
-        if r["n"] <= NEAR_ROWS or r["a"] == r["b"]:
+        inside = ranged.where(F.col("range") == r["range"]).drop("range")
+        n = r["n"]
+        if n <= NEAR_ROWS or r["a"] == r["b"]:
             break
-        low, high = math.nextafter(r["a"], -math.inf), r["b"]
-    near = copies.where((F.col("finish") >= r["a"]) & (F.col("finish") <= r["b"]))
-    order = ["finish", "place", "id"]
     runs = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    cut = near.withColumn("upto", F.lit(float(spent)) + F.sum("size").over(runs))
+    cut = inside.withColumn("upto", F.lit(float(spent)) + F.sum("size").over(runs))
     # the copy that crosses the budget is taken if more than half of it fits
-    last = cut.where(F.col("upto") - F.col("size") / 2 <= budget).agg(F.max(F.struct(*order)).alias("x")).first()["x"]
-    if last is None:
-        return (math.nextafter(r["a"], -math.inf), 0.0, None)
-    return (last["finish"], last["place"], last["id"])
+    fits = F.col("upto") - F.col("size") / 2 <= budget
+    found = cut.agg(F.max(F.when(fits, F.struct(*order))).alias("last"), F.min(F.struct(*order)).alias("first")).first()
+    return (found["first"], False) if found["last"] is None else (found["last"], True)
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, slice_rows: int = 4096, keep: tuple[str, ...] = (), id_col: str = "doc_id") -> DataFrame:
@@ -97,9 +93,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int
     base = common.written(base, "mix-sizes")
     per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     per = common.written(source_targets(per, weights, share, most), "mix-targets")
-    budget = per.agg(F.max("budget")).first()[0]
+    budget, n = per.agg(F.max("budget"), F.sum("n")).first()
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(20), "id", "row_key"), 11) / F.lit(float(1 << 53))
-    placed = base.join(common.small_side(per.drop("budget"), 100_000), base["source"].eqNullSafe(per["source"])).drop(per["source"])
+    placed = base.join(common.small_side(per.drop("budget")), base["source"].eqNullSafe(per["source"])).drop(per["source"])
     placed = placed.withColumn("place", unit).withColumn("slice", F.floor(F.col("place") * F.ceil(F.col("n") / slice_rows)))
     in_slice = Window.partitionBy("source", "slice").orderBy("place", "id", "row_key").rowsBetween(Window.unboundedPreceding, 0)
     slices = placed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
@@ -110,11 +106,15 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int
     placed = common.written(placed.withColumn("cum", F.col("before") + F.col("within")).select("id", "source", "size", "row_key", "source_size", "target", "place", "cum"), "mix-order")
     finish = [F.try_divide(F.col("cum") + k * F.col("source_size"), F.col("target")) for k in range(most)]
     copies = placed.where("size > 0 and target > 0").select("id", "size", "place", F.explode(F.array(*finish)).alias("finish"))
-    last = _last_taken(copies, budget or 0.0)
+    last = _last_taken(copies, budget or 0.0, most * (n or 0))
     taken = F.lit(0).cast("long")
     if last is not None:
-        f, p, i = last
+        row, itself = last
+        f, p, i = F.lit(row["finish"]), F.lit(row["place"]), F.lit(row["id"])
+        # as in a sort, a null id comes first
+        upto = F.lit(False) if row["id"] is None else F.col("id").isNull() | (F.col("id") < i)
+        upto = upto | F.col("id").eqNullSafe(i) if itself else upto
         for x in finish:
-            after = (x == f) & (F.col("place") <= F.lit(p)) if i is None else (x == f) & ((F.col("place") < F.lit(p)) | ((F.col("place") == F.lit(p)) & (F.col("id") <= F.lit(i))))
-            taken = taken + F.when((F.col("size") > 0) & (F.col("target") > 0) & ((x < F.lit(f)) | after), F.col("size")).otherwise(F.lit(0))
+            within = (x < f) | ((x == f) & ((F.col("place") < p) | ((F.col("place") == p) & upto)))
+            taken = taken + F.when((F.col("size") > 0) & (F.col("target") > 0) & within, F.col("size")).otherwise(F.lit(0))
     return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), "row_key")

@@ -64,7 +64,7 @@ def test_cut_by_narrowing(docs, prose, monkeypatch):
     frame = docs(rows_of(prose)[:200])
     whole = {(r.doc_id, r.taken) for r in mixing.mix_sources(frame).collect()}
     monkeypatch.setattr(mixing, "NEAR_ROWS", 3)
-    monkeypatch.setattr(mixing, "BINS", 8)
+    monkeypatch.setattr(mixing, "RANGES", 8)
     assert {(r.doc_id, r.taken) for r in mixing.mix_sources(frame).collect()} == whole
 
 
