@@ -99,11 +99,23 @@ def destination(source_path: Column, title: Column, year: Column, author: Column
     def with_title(t: Column, d: Column) -> Column:
         # a sanitised name has no slash, so the path is clean as its folder is
         path = lambda t, a: F.concat(d, sanitize(render(template, t, year, a)), ext)
-        size = F.octet_length(t)
-        steps = F.sequence(F.lit(1), F.ceil(size / CUT_BYTES).cast("int"))
-        cut = F.transform(steps, lambda k: path(byte_prefix(t, size - k * CUT_BYTES), F.lit("")))
-        shortest = let(cut, lambda c: F.coalesce(F.get(F.filter(c, fits), F.lit(0)), F.element_at(c, -1)))
-        nameless = let(path(t, F.lit("")), lambda p: F.when(fits(p), p).otherwise(shortest))
+        size, none = F.octet_length(t), F.lit("")
+        cut = lambda k: path(byte_prefix(t, size - k * CUT_BYTES), none)
+        steps = F.ceil(size / CUT_BYTES).cast("int")
+
+        def halved(x: Column, _: Column) -> Column:
+            low, high = x["low"], x["high"]
+            middle = F.floor((low + high) / 2).cast("int")
+            # a name that is all cut away is replaced by a longer one: no later step is shorter
+            done = lambda p: fits(p) | p.rlike(r"/Untitled(\.[^./]*)?\z") | (middle == steps)
+            shorter = lambda p: F.struct(low.alias("low"), (middle - 1).alias("high"), p.alias("path"))
+            longer = F.struct((middle + 1).alias("low"), high.alias("high"), x["path"].alias("path"))
+            return F.when(low > high, x).otherwise(let(cut(middle), lambda p: F.when(done(p), shorter(p)).otherwise(longer)))
+
+        # the first step that fits, or the last, by halving: paths get shorter with each step
+        start = F.struct(F.lit(1).alias("low"), steps.alias("high"), none.alias("path"))
+        shortest = F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, halved)["path"]
+        nameless = let(path(t, none), lambda p: F.when(fits(p), p).otherwise(shortest))
         return let(path(t, author), lambda p: F.when(fits(p), p).otherwise(nameless))
 
     return let(named, lambda t: let(folder, lambda d: with_title(t, d)))

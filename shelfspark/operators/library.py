@@ -97,12 +97,21 @@ def _sort_key(sort_by: str):
 def shelves(books: DataFrame, sort_by: str = "title") -> DataFrame:
     """shelf, place, and the book's columns: books by subcategory, in order within their shelf.
 
-    Flat rows rather than nested ones, so that no shelf has to fit a task.  Categories merge unless filtered before."""
+    Flat rows rather than nested ones, dealt to tasks by ranges of shelf and order and numbered from the counts of earlier ranges,
+    so that no shelf has to fit a task.  Categories merge unless filtered before."""
     if sort_by not in ("title", "author", "year"):
         raise ValueError("sort_by must be title, author or year")
     named = books.withColumn("shelf", F.when(F.col("subcategory") == "", NO_SUBCATEGORY).otherwise(F.col("subcategory")))
-    order = Window.partitionBy("shelf").orderBy(_sort_key(sort_by), "source_path")
-    return named.withColumn("place", F.row_number().over(order)).orderBy(F.collate("shelf", "UNICODE"), "place")
+    parts = int(books.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    order = [_sort_key(sort_by), F.col("source_path")]
+    ranged = named.repartitionByRange(parts, "shelf", *order).withColumn("_range", F.spark_partition_id())
+    counts = ranged.groupBy("shelf", "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("shelf").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("shelf", "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("shelf", "_range").orderBy(*order))
+    placed = ranged.withColumn("_within", within).join(counts, ["shelf", "_range"])
+    placed = placed.withColumn("place", (F.col("_before") + F.col("_within")).cast("int")).select(*named.columns, "place")
+    return placed.orderBy(F.collate("shelf", "UNICODE"), "place")
 
 
 def shelf_counts(books: DataFrame) -> DataFrame:

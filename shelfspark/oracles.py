@@ -44,15 +44,18 @@ hx as (select * exclude (s0, s1, cut_at, a, b, flip), {clean("case when cut_at =
               {authors(clean("case when cut_at = 0 then '' when flip then a else b end"))} as h_author from h3)"""
 
 
-FILES = f"f as (select p_partkey as scan_ord, {q.PATH} as source_path, {q.SIZE} as size_bytes, {q.M_TITLE} as m_title, {q.M_AUTHOR} as m_author, {q.M_YEAR} as m_year, p_type as subject from part)"
+def files(path: str) -> str:
+    return f"f as (select p_partkey as scan_ord, {path} as source_path, {q.SIZE} as size_bytes, {q.M_TITLE} as m_title, {q.M_AUTHOR} as m_author, {q.M_YEAR} as m_year, p_type as subject from part)"
+
+
 BASE = "regexp_extract(source_path, '([^/]*)$', 1)"
 STEM = rf"regexp_replace({BASE}, '\.[^.]*$', '')"
 
 
-def resolved() -> str:
+def resolved(path: str = q.PATH) -> str:
     """CTEs that end in rx: files with title, author, year and their sources."""
     one = lambda f: f"case when m_{f} <> '' then m_{f} else h_{f} end as {f}, case when m_{f} <> '' then 'Metadata' when h_{f} <> '' then 'Heuristic' else 'Unresolved' end as {f}_source"
-    return f"{FILES}, {parsed('f', STEM)}, rx as (select scan_ord, source_path, size_bytes, subject, {', '.join(map(one, ('title', 'author', 'year')))} from hx)"
+    return f"{files(path)}, {parsed('f', STEM)}, rx as (select scan_ord, source_path, size_bytes, subject, {', '.join(map(one, ('title', 'author', 'year')))} from hx)"
 
 
 def status(manual: str = "false", edited: str = "''") -> str:
@@ -110,13 +113,18 @@ CATALOGUE = f"c as (select p_partkey, p_name as title, p_brand as author, {q.FOR
 EXT = r"regexp_extract(source_path, '(\.[^./]*)$', 1)"
 NUMBERED = r"case when dest_path = '' or n = 1 then dest_path else regexp_replace(dest_path, '\.[^./]*$', '') || ' (' || n || ')' || regexp_extract(dest_path, '(\.[^./]*)$', 1) end"
 
-REVIEW = f"""{resolved()},
+
+def reviewed(path: str = q.PATH) -> str:
+    """CTEs that end in vx: the rows of a review."""
+    return f"""{resolved(path)},
 cx as (select *, {category(0)} as category, {category(1)} as subcategory, lower(substr({EXT}, 2)) as format from rx),
 dx as (select *, {destination("title", "year", "author", "category", "subcategory", EXT)} as dest_path from cx),
 nx as (select *, row_number() over (partition by dest_path order by scan_ord) as n from dx),
 ux as (select * exclude (dest_path), {NUMBERED} as dest_path from nx),
 vx as (select ux.*, s.duplicate_status, {status()} as status from ux join {duplicate_status("ux", "scan_ord")} s on s.scan_ord = ux.scan_ord)"""
 
+
+REVIEW = reviewed()
 TITLE_SOURCE = "case p_partkey % 4 when 0 then replace(p_name, ' ', '-') when 1 then 'the_' || replace(p_name, ' ', '_') || '_of_a_' || p_type when 2 then 'on ' || p_name || ' in iOS-' || p_brand else upper(p_name) || ' and' end"
 
 
@@ -137,8 +145,8 @@ tx as (select {key}, array_to_string(list_transform(ws, lambda w, i: {word}), '
 
 LOG = f"l as (select o_orderkey as log_ord, 'b' || ({q.ORDER_BATCH}) as batch_id, o_orderdate as ts, '/old/' || o_orderkey as old_path, '/new/' || o_orderkey as new_path, o_orderstatus = 'F' as undone from orders)"
 CACHE = """d as (select '/library/' || lang || '/' || source || '/' || doc_id || '.epub' as source_path, doc_id * 1000 as mtime_ns, n_chars as size, doc_id from documents),
-f as (select source_path, mtime_ns, case when doc_id % 10 = 4 then size + 1 else size end as size from d where doc_id % 10 <> 3),
-c as (select source_path, mtime_ns, size, 't' || doc_id as title, doc_id % 10 not in (6, 7) as valid from d where doc_id % 10 <> 5),
+f as (select source_path, case when doc_id % 10 = 8 then mtime_ns + 1 else mtime_ns end as mtime_ns, case when doc_id % 10 = 4 then size + 1 else size end as size from d),
+c as (select case when doc_id % 10 in (3, 5) then source_path || '.gone' else source_path end as source_path, mtime_ns, size, 't' || doc_id as title, doc_id % 10 not in (6, 7) as valid from d),
 h as (select c.* from c join f using (source_path, mtime_ns, size) where valid),
 m as (select f.* from f anti join h using (source_path, mtime_ns, size))"""
 BOOKS = "b as (select '/library/' || p_partkey as source_path, p_name as title, p_brand as author, '' || (1950 + p_size) as year, case when p_size % 6 = 0 then '' else p_type end as category, case when p_size % 7 = 0 then '' else p_brand end as subcategory from part)"
@@ -157,7 +165,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_fields": f"""with x as (select p_partkey, p_name || substr('. ;.; .', 1, p_size % 8) as t, p_brand || ' ;' || p_type || ';x' as a, 'v' || p_size || ' (' || (1480 + p_partkey % 700) || ')' as y from part)
 select p_partkey, {clean("t")} as title, {authors("a")} as author, {year("y")} as year, {norm("a || y")} as dup_key from x""",
         "rule_categorise": f"with {resolved()} select scan_ord, {category(0)} as category, {category(1)} as subcategory, {category(2)} as category_warning from rx",
-        "subject_categorise": f"""with x as (select doc_id, coalesce(string_split(text, chr(10))[1], '') as title, source as author, lang as subject, '/x/' || source as source_path from documents)
+        "subject_categorise": f"""with x as (select doc_id, coalesce(text, '') as title, source as author, lang as subject, '/x/' || source as source_path from documents)
 select doc_id, {category(0)} as category, {category(1)} as subcategory from x""",
         "provenance_status": f"with {resolved()} select scan_ord, {flat}, {status('scan_ord % 17 = 0')} as status from rx",
         "dest_path": f"""with x as (select p_partkey, {q.LONG_TITLE} as title, case when p_size % 2 = 0 then p_brand else '' end as author, case when p_size % 3 = 0 then '' || (1950 + p_size) else '' end as year, p_type as cat, case when p_size % 5 = 0 then '' else p_brand end as sub from part)
@@ -165,9 +173,10 @@ select p_partkey, {destination("title", "year", "author", "cat", "sub", "'.Epub'
         "dest_disambiguate": f"""with x as (select p_partkey as scan_ord, case when p_partkey % 9 = 0 then '' else '/library/' || p_type || '/' || p_name || '.epub' end as dest_path from part),
 y as (select *, row_number() over (partition by dest_path order by scan_ord) as n from x) select scan_ord, {NUMBERED} as dest_path from y""",
         "scan_review": f"with {REVIEW} select source_path, format, title, author, year, category, subcategory, dest_path, duplicate_status, status from vx",
-        "recompute": f"""with {resolved()}, e as (select * exclude (title, title_source), 'the_' || title || '-of-a-kind' as raw, 'Edited' as title_source from rx where scan_ord % 7 = 0), {titled("e", "scan_ord", "raw")}
-select e.scan_ord, tx.title, {status()} as status, {category(0, title="tx.title")} as category from e join tx on tx.scan_ord = e.scan_ord""",
-        "apply_split": f"with {REVIEW} select status = 'Unresolved' as skipped, count(*) as n from vx group by 1",
+        "recompute": f"""with {resolved()}, e as (select * exclude (title, title_source), title as old, 'the_' || title || '-of-a-kind' as raw, case when scan_ord % 7 = 0 then 'Edited' else title_source end as title_source from rx), {titled("e", "scan_ord", "raw")},
+g as (select e.*, case when e.scan_ord % 7 = 0 then tx.title else old end as title from e join tx on tx.scan_ord = e.scan_ord)
+select scan_ord, title, {status()} as status, {category(0)} as category from g""",
+        "apply_split": f"with {reviewed(q.UNTITLED_PATH)} select source_path, status = 'Unresolved' as skipped from vx",
         "known_destinations": f"""with {resolved()}, k as (select {category(0)} as category, {category(1)} as subcategory from rx)
 select category, subcategory, (category, subcategory) in ({", ".join(f"('{c}', '{s}')" for c, subs in q.CONFIG.categories.items() if c != "Uncategorized" for s in subs or [""])}) as known_destination, count(*) as n from k group by 1, 2, 3""",
         "batch_list": f"with {LOG} select batch_id, strftime(arg_min(ts, log_ord), '%Y%m%d') as first_day, count(*) as entry_count, count(*) filter (undone) as undone_count, count(*) filter (not undone) as remaining_count, min(log_ord) as first_ord from l group by batch_id",
@@ -193,5 +202,18 @@ select log_ord, batch_id, coalesce(arg_max(now, ord * 2 + cast(now as integer)),
         "path_partition": rf"""with x as (select page_id, {URL} as p from pages), y as (select page_id, regexp_extract(p, '([^/]*)/*$', 1) as name, regexp_extract(p, '([^/]*)$', 1) as last, {PAGE_PARTS} as parts from x)
 select page_id, case when len(parts) > 1 then parts[1] else '' end as category, case when len(parts) > 2 then parts[2] else '' end as subcategory, name,
  lower(regexp_extract(last, '\.([^.]*)$', 1)) as format, regexp_replace(name, '\.[^.]*$', '') as stem from y""",
-        "cover_names": "select doc_id, sha256(source) || case doc_id % 3 when 0 then '.png' when 1 then '.jpg' else '.img' end as file, substr(sha256(text), 1, 8) as version from documents where text is not null",
+        "cover_names": "select doc_id, sha256(source) || case doc_id % 3 when 0 then '.png' when 1 then '.jpg' else '.img' end as file, substr(sha256(text), 1, 8) as version from documents",
+        "review_select": f"with {REVIEW} select source_path, status from vx where source_path in (select {q.PATH} from part where p_size < 25) and status = 'Partial' and (contains(lower(title), 'ring') or contains(lower(author), 'ring') or contains(lower({BASE}), 'ring'))",
+        "review_all_checked": "select 'every' as checked, count(*) > 0 as all_checked from part union all select 'some', count(*) > 0 and bool_and(p_size < 25) from part",
+        "swap_fields": f"with {resolved()} select scan_ord, author as title, title as author, 'Edited' as title_source, case when year_source = 'Unresolved' then 'Partial' else 'Edited' end as status from rx",
+        "dest_split": rf"""with x as (select p_partkey, {q.SPLIT_CATEGORY} as c, {q.SPLIT_SUB} as s, list_filter(string_split(replace({q.SPLIT_PATH}, chr(92), '/'), '/'), lambda p: p <> '') as l from part)
+select p_partkey, 'home/x/library' as prefix, c || case when s <> '' then '/' || s else '' end as folder, l[-1] as name from x""",
+        "display_stems": rf"""with x as (select p_partkey, regexp_extract({q.DISPLAY_PATH}, '([^/]*)/*$', 1) as b from part)
+select p_partkey, case when regexp_matches(b, '^\.[^.]*$') then b else regexp_replace(b, '\.[^.]*$', '') end as stem from x""",
+        "apply_results": """with r as (select p_partkey as scan_ord, p_size from part)
+select scan_ord, case when p_size < 40 then p_size % 3 <> 0 end as ok, case when p_size < 40 then p_size % 3 = 1 end as skipped, case when p_size < 40 then case when p_size % 3 = 0 then 'no space' else '' end end as error from r""",
+        "redo_order": f"with {LOG} select cast(row_number() over (order by log_ord) as integer) as place, old_path, new_path from l where batch_id = 'b7' and undone",
+        "warning_order": f"with {LOG} select cast(row_number() over (order by log_ord desc) as integer) as place, batch_id as message, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as timestamp_text from l",
+        "filled_fields": f"with {resolved()} select scan_ord, title, author, year from rx",
+        "elapsed_text": "with x as (select p_partkey, cast(floor(p_size * p_size / 4) as bigint) as s from part) select p_partkey, case when s < 60 then s || 's' else (s // 60) || 'm ' || (s % 60) || 's' end as elapsed from x",
     }

@@ -50,7 +50,12 @@ M_YEAR = "case when p_size % 4 = 1 then '' || (1950 + p_size) else '' end"
 FORMAT = "case p_size % 4 when 0 then 'epub' when 1 then 'pdf' when 2 then 'mobi' else 'azw3' end"
 SIZE = "cast(round(p_retailprice * 1000) as bigint)"
 LONG_TITLE = "case when p_partkey % 4 = 0 then '' when p_partkey % 4 = 1 then repeat(p_name || ' ', 30) else p_name end"
+#: Some files are named by nothing but a number in brackets.
+UNTITLED_PATH = f"case when p_partkey % 13 = 0 then '/inbox/(' || p_partkey || ').pdf' else {PATH} end"
 ORDER_BATCH = "o_custkey % 400"
+SPLIT_CATEGORY, SPLIT_SUB = "case when p_size % 4 = 0 then '' else p_type end", "case when p_size % 4 = 0 or p_size % 5 = 0 then '' else p_brand end"
+SPLIT_PATH = f"'/home/x//library/' || ({SPLIT_CATEGORY}) || case when p_size % 2 = 0 then '/' else chr(92) end || ({SPLIT_SUB}) || '/' || p_name || '.epub'"
+DISPLAY_PATH = "'/a.b/' || case p_partkey % 5 when 0 then '.' || p_brand when 1 then p_name || '.tar.gz' when 2 then p_name else p_name || '.epub' end || case when p_size % 9 = 0 then '/' else '' end"
 EVENT_BATCH = "'20240101-' || (user_id % 7) || case when event_type = 'error' then 'x' when user_id % 11 = 0 then ' ' else '' end"
 
 
@@ -58,9 +63,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _files(spark: SparkSession, sf_dir: str, path: str = PATH) -> DataFrame:
     """Files with what extraction found in them."""
-    return _read(spark, sf_dir, "part").selectExpr("p_partkey as scan_ord", f"{PATH} as source_path", f"{SIZE} as size_bytes", f"{M_TITLE} as m_title", f"{M_AUTHOR} as m_author", f"{M_YEAR} as m_year", "p_type as subject")
+    return _read(spark, sf_dir, "part").selectExpr("p_partkey as scan_ord", f"{path} as source_path", f"{SIZE} as size_bytes", f"{M_TITLE} as m_title", f"{M_AUTHOR} as m_author", f"{M_YEAR} as m_year", "p_type as subject")
 
 
 def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +106,9 @@ def rule_categorise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subject_categorise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by their language as subject and their source as author."""
+    """Documents by their text as title, their language as subject and their source as author."""
     docs = _read(spark, sf_dir, "documents")
-    first = F.coalesce(F.get(F.split("text", "\n"), F.lit(0)), F.lit(""))
-    got = rules.categorise(CONFIG, F.concat(F.lit("/x/"), "source"), first, F.col("source"), F.col("lang"))
+    got = rules.categorise(CONFIG, F.concat(F.lit("/x/"), "source"), F.coalesce("text", F.lit("")), F.col("source"), F.col("lang"))
     return docs.select("doc_id", got.alias("c")).select("doc_id", "c.category", "c.subcategory")
 
 
@@ -125,8 +129,8 @@ def dest_disambiguate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.distinct_destinations(part)
 
 
-def _review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.review(_files(spark, sf_dir), CONFIG)
+def _review(spark: SparkSession, sf_dir: str, path: str = PATH) -> DataFrame:
+    return review.review(_files(spark, sf_dir, path), CONFIG)
 
 
 def scan_review(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,15 +139,17 @@ def scan_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh title edited, then recomputed."""
-    books = resolve.with_fields(_files(spark, sf_dir), TAGS).withColumns({"category_manual": F.lit(False)}).where("scan_ord % 7 = 0")
+    """All rows, every seventh title edited, then recomputed."""
+    books = resolve.with_fields(_files(spark, sf_dir), TAGS).withColumns({"category_manual": F.lit(False), "_old": F.col("title")})
     books = resolve.edited(books, "title", F.concat(F.lit("the_"), F.col("title.value"), F.lit("-of-a-kind")))
+    books = books.withColumn("title", F.when(F.col("scan_ord") % 7 == 0, F.col("title")).otherwise(F.col("_old"))).drop("_old")
     return resolve.recomputed(books, CONFIG).select("scan_ord", F.col("title.value").alias("title"), "status", "category")
 
 
 def apply_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready, skipped = views.to_apply(_review(spark, sf_dir))
-    return ready.select("source_path", F.lit(False).alias("skipped")).unionByName(skipped.select("source_path", F.lit(True).alias("skipped"))).groupBy("skipped").agg(F.count("*").alias("n"))
+    """Rows that can be moved, and rows without a title."""
+    ready, skipped = views.to_apply(_review(spark, sf_dir, UNTITLED_PATH))
+    return ready.select("source_path", F.lit(False).alias("skipped")).unionByName(skipped.select("source_path", F.lit(True).alias("skipped")))
 
 
 def known_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,9 +193,9 @@ def undo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cache(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Files now, and the cache of an earlier scan."""
     docs = _read(spark, sf_dir, "documents").selectExpr("'/library/' || lang || '/' || source || '/' || doc_id || '.epub' as source_path", "doc_id * 1000 as mtime_ns", "n_chars as size", "doc_id")
-    files = docs.where("doc_id % 10 <> 3").select("source_path", "mtime_ns", F.expr("case when doc_id % 10 = 4 then size + 1 else size end").alias("size"))
-    cache = docs.where("doc_id % 10 <> 5").selectExpr(
-        "source_path", "mtime_ns", "size", "'t' || doc_id as title", "'a' as author", "'' as year", "'' as category", "'' as subcategory", "'' as cover_path", "false as cover_overridden",
+    files = docs.select("source_path", F.expr("case when doc_id % 10 = 8 then mtime_ns + 1 else mtime_ns end").alias("mtime_ns"), F.expr("case when doc_id % 10 = 4 then size + 1 else size end").alias("size"))
+    cache = docs.selectExpr(
+        "case when doc_id % 10 in (3, 5) then source_path || '.gone' else source_path end as source_path", "mtime_ns", "size", "'t' || doc_id as title", "'a' as author", "'' as year", "'' as category", "'' as subcategory", "'' as cover_path", "false as cover_overridden",
         "cast(case when doc_id % 10 = 6 then 0 else 1 end as int) as cover_version", "cast(case when doc_id % 10 = 7 then null else 1 end as int) as metadata_version",
     )
     return files, cache
@@ -255,14 +261,75 @@ def path_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cover_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").where("text is not null")
+    docs = _read(spark, sf_dir, "documents")
     kind = F.when(F.col("doc_id") % 3 == 0, "image/png").when(F.col("doc_id") % 3 == 1, "image/jpeg").otherwise("image/bmp")
     return docs.select("doc_id", text.cover_name(F.col("source"), kind).alias("file"), text.content_version(F.encode("text", "UTF-8")).alias("version"))
 
 
+def review_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that are checked and visible."""
+    seen = views.book_views(_review(spark, sf_dir))
+    checked = _read(spark, sf_dir, "part").selectExpr(f"{PATH} as id", "p_size < 25 as checked").where("checked")
+    return views.selected(seen, checked, "Partial", "ring").select(F.col("id").alias("source_path"), "status")
+
+
+def review_all_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all rows are checked, with every row checked and with some."""
+    seen = _read(spark, sf_dir, "part").selectExpr("'' || p_partkey as id")
+    some = _read(spark, sf_dir, "part").where("p_size < 25").selectExpr("'' || p_partkey as id")
+    return views.all_checked(seen, seen).select(F.lit("every").alias("checked"), "all_checked").unionByName(views.all_checked(seen, some).select(F.lit("some").alias("checked"), "all_checked"))
+
+
+def swap_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = resolve.swapped(resolve.with_fields(_files(spark, sf_dir), TAGS)).withColumn("category_manual", F.lit(False))
+    return resolve.with_status(books).select("scan_ord", F.col("title.value").alias("title"), F.col("author.value").alias("author"), F.col("title.source").alias("title_source"), "status")
+
+
+def dest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Destinations as they are displayed, with both kinds of separators."""
+    part = _read(spark, sf_dir, "part").selectExpr("p_partkey", f"{SPLIT_PATH} as p", f"{SPLIT_CATEGORY} as category", f"{SPLIT_SUB} as sub")
+    got = paths.split_destination(F.col("p"), F.col("category"), F.col("sub"))
+    return part.select("p_partkey", got.alias("d")).select("p_partkey", "d.prefix", "d.folder", "d.name")
+
+
+def display_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _read(spark, sf_dir, "part").selectExpr("p_partkey", f"{DISPLAY_PATH} as p")
+    return names.select("p_partkey", paths.display_stem(F.col("p")).alias("stem"))
+
+
+def apply_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with what became of them; some have no result yet."""
+    rows = _read(spark, sf_dir, "part").selectExpr("p_partkey as scan_ord", "'/inbox/' || p_partkey as source_path")
+    results = _read(spark, sf_dir, "part").where("p_size < 40").selectExpr("'/inbox/' || p_partkey as source_path", "p_size % 3 <> 0 as ok", "p_size % 3 = 1 as skipped", "case when p_size % 3 = 0 then 'no space' else '' end as error")
+    return views.with_results(rows, results).select("scan_ord", "ok", "skipped", "error")
+
+
+def redo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = oplog.to_redo(_log(spark, sf_dir), "b7")
+    return got.withColumn("place", F.row_number().over(Window.orderBy("log_ord"))).select("place", "old_path", "new_path")
+
+
+def warning_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings as they are listed, newest first."""
+    warned = _log(spark, sf_dir).withColumnRenamed("batch_id", "message")
+    got = oplog.warning_views(warned)
+    return got.withColumn("place", F.row_number().over(Window.orderBy(F.col("log_ord").desc()))).select("place", "message", "timestamp_text")
+
+
+def filled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, author and year from the file where there are any, else from its name."""
+    files = _files(spark, sf_dir).selectExpr("scan_ord", "source_path", "m_title as title", "m_author as author", "m_year as year")
+    return library.filled(files, TAGS).select("scan_ord", "title", "author", "year")
+
+
+def elapsed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").select("p_partkey", text.elapsed(F.col("p_size") * F.col("p_size") / 4).alias("elapsed"))
+
+
 _QUERIES = (
     dup_detect, review_filter, stem_parse, title_format, clean_fields, rule_categorise, subject_categorise, provenance_status, dest_path, dest_disambiguate, scan_review, recompute, apply_split, known_destinations,
     batch_list, batch_entries, batch_next_id, undo_fold, undo_order, cache_hit, cache_miss, cache_keep, cache_next, shelves, shelf_counts, library_search, library_categories, library_subcategories, cover_overrides, path_partition, cover_names,
+    review_select, review_all_checked, swap_fields, dest_split, display_stems, apply_results, redo_order, warning_order, filled_fields, elapsed_text,
 )
 
 

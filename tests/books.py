@@ -13,7 +13,7 @@ JPEG = b"\xff\xd8\xff\xe0jpeg"
 PNG = png(np.zeros((1, 1, 3), np.uint8))
 
 
-def epub(title="Foundation", creator="Isaac Asimov", date="1951-01-01", subject="Sci-Fi", manifest="", metas="", spine="", files=(), opf="OEBPS/content.opf"):
+def epub(title="Driftwood", creator="Mira Stonefell", date="1962-05-30", subject="Nature", manifest="", metas="", spine="", files=(), opf="OEBPS/content.opf"):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("META-INF/container.xml", f'<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="{opf}"/></rootfiles></container>')
@@ -23,7 +23,7 @@ def epub(title="Foundation", creator="Isaac Asimov", date="1951-01-01", subject=
     return out.getvalue()
 
 
-def mobi(records=((100, b"Isaac Asimov"), (105, b"Sci-Fi"), (106, b"1951-01-01"), (503, b"Foundation")), name=b"Full Name", images=(), cut=None):
+def mobi(records=((100, b"Mira Stonefell"), (105, b"Nature"), (106, b"1962-05-30"), (503, b"Driftwood")), name=b"Full Name", images=(), cut=None):
     exth = b"".join(struct.pack(">II", k, 8 + len(v)) + v for k, v in records)
     block = b"EXTH" + struct.pack(">II", 12 + len(exth), len(records)) + exth
     header = bytearray(232)

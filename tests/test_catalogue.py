@@ -20,7 +20,7 @@ yaml = pytest.importorskip("yaml")
 def place(tmp_path):
     for d in ("in", "lib", "log", "state"):
         (tmp_path / d).mkdir()
-    (tmp_path / "config.yaml").write_text(yaml.safe_dump({"general": {"working_folder": str(tmp_path / "in"), "library_folder": str(tmp_path / "lib"), "log_folder": str(tmp_path / "log"), "filename_format": "{title} ({year}) - {author}"}, "heuristics": {"known_junk_tags": ["OceanofPDF.com"]}, "categories": {"Fiction": {"subcategories": ["Sci-Fi"]}}, "rules": [{"match_field": "title", "match_value": "^Odd", "category": "Nowhere"}]}))
+    (tmp_path / "config.yaml").write_text(yaml.safe_dump({"general": {"working_folder": str(tmp_path / "in"), "library_folder": str(tmp_path / "lib"), "log_folder": str(tmp_path / "log"), "filename_format": "{title} ({year}) - {author}"}, "heuristics": {"known_junk_tags": ["OceanofPDF.com"]}, "categories": {"Fiction": {"subcategories": ["Nature"]}}, "rules": [{"match_field": "title", "match_value": "^Odd", "category": "Nowhere"}]}))
     return tmp_path
 
 
@@ -35,7 +35,7 @@ def test_scan_apply_undo(spark, place):
     assert seen == [(0, 3), (3, 3)] and app.category_warnings().count() == 1
     out = app.apply(rows)
     assert [(r["skipped"], r["ok"]) for r in out] == [(True, False), (False, True), (False, True)]
-    moved = place / "lib/Fiction/Sci-Fi/Foundation (1951) - Isaac Asimov.epub"
+    moved = place / "lib/Fiction/Nature/Driftwood (1962) - Mira Stonefell.epub"
     assert moved.exists() and not (place / "in/a.epub").exists()
     (batch,) = app.operation_batches().collect()
     assert (batch.entry_count, batch.undone_count, batch.remaining_count) == (2, 0, 2) and batch.batch_id.endswith("-1")
@@ -43,31 +43,31 @@ def test_scan_apply_undo(spark, place):
     assert app.undo_batch(batch.batch_id) == 2 and (place / "in/a.epub").exists() and app.undo_batch(batch.batch_id) == 0
     assert app.operation_batches().first().undone_count == 2
     assert app.redo_batch(batch.batch_id) == 2 and moved.exists() and app.operation_batches().first().undone_count == 0
-    assert [tuple(r) for r in app.categories().collect()] == [("Fiction", "Sci-Fi")]
+    assert [tuple(r) for r in app.categories().collect()] == [("Fiction", "Nature")]
     assert app.config_status()["ok"] and not Catalogue(spark, str(place / "none.yaml"), "x").config_status()["ok"]
 
 
 def test_library_and_cache(spark, place):
-    shelf = place / "lib/Fiction/Sci-Fi"
+    shelf = place / "lib/Fiction/Nature"
     shelf.mkdir(parents=True)
-    (shelf / "Foundation.epub").write_bytes(books.epub(manifest='<item id="i" href="c.jpg" media-type="image/jpeg" properties="cover-image"/>', files=[("OEBPS/c.jpg", books.JPEG)]))
-    (shelf / "Dune - Frank Herbert.mobi").write_bytes(b"broken")
+    (shelf / "Driftwood.epub").write_bytes(books.epub(manifest='<item id="i" href="c.jpg" media-type="image/jpeg" properties="cover-image"/>', files=[("OEBPS/c.jpg", books.JPEG)]))
+    (shelf / "Kelp - Olga Brandt.mobi").write_bytes(b"broken")
     app = Catalogue(spark, str(place / "config.yaml"), str(place / "state"))
     first = [tuple(r) for r in app.library().drop("scan_ord").collect()]
     by = {os.path.basename(r[0]): r for r in first}
-    assert by["Dune - Frank Herbert.mobi"][1:3] == ("Dune", "Frank Herbert") and by["Foundation.epub"][4:6] == ("Fiction", "Sci-Fi")
-    address = by["Foundation.epub"][6]
+    assert by["Kelp - Olga Brandt.mobi"][1:3] == ("Kelp", "Olga Brandt") and by["Driftwood.epub"][4:6] == ("Fiction", "Nature")
+    address = by["Driftwood.epub"][6]
     assert address.startswith("/covers/") and (place / "state/covers" / address.split("/")[2].split("?")[0]).read_bytes() == books.JPEG
     cached = app.cache.load().collect()
-    assert [os.path.basename(r.source_path) for r in cached] == ["Foundation.epub"]  # failures are not cached
+    assert [os.path.basename(r.source_path) for r in cached] == ["Driftwood.epub"]  # failures are not cached
     assert [tuple(r) for r in app.library().drop("scan_ord").collect()] == first
-    path = str(shelf / "Foundation.epub")
+    path = str(shelf / "Driftwood.epub")
     custom = app.set_cover_image(path, books.PNG, "image/png")
     assert app.cache.load().count() == 0
-    got = {os.path.basename(r.source_path): r for r in app.library().collect()}["Foundation.epub"]
+    got = {os.path.basename(r.source_path): r for r in app.library().collect()}["Driftwood.epub"]
     assert (got.cover_path, got.cover_overridden) == (custom, True)
     app.clear_cover(path)
-    assert not {os.path.basename(r.source_path): r for r in app.library().collect()}["Foundation.epub"].cover_overridden
+    assert not {os.path.basename(r.source_path): r for r in app.library().collect()}["Driftwood.epub"].cover_overridden
     os.unlink(path)
     assert app.library().count() == 1 and app.cache.load().count() == 0
     app.reset_covers()

@@ -19,9 +19,9 @@ def statuses(spark, rows):
 @pytest.mark.parametrize(
     ("rows", "expected", "groups"),
     [
-        ([("Foundation", "Isaac Asimov", "epub", 1_000_000), ("foundation", "  isaac asimov ", "epub", 1_005_000)], ["Likely", "Likely"], 1),
+        ([("Driftwood", "Mira Stonefell", "epub", 1_000_000), ("driftwood", "  mira stonefell ", "epub", 1_005_000)], ["Likely", "Likely"], 1),
         ([("F", "A", "epub", 1_000_000), ("F", "A", "pdf", 5_000_000)], ["Possible", "Possible"], 1),
-        ([("Foundation", "Asimov", "epub", 1), ("Dune", "Frank Herbert", "epub", 1)], ["Not", "Not"], 0),
+        ([("Driftwood", "Stonefell", "epub", 1), ("Kelp", "Olga Brandt", "epub", 1)], ["Not", "Not"], 0),
         ([("F", "A", "epub", 1_000_000), ("F", "A", "epub", 1_005_000), ("F", "A", "pdf", 9_000_000)], ["Likely", "Likely", "Possible"], 1),
         ([("Cien", "García Márquez", "epub", 5000), ("cien", "  GARCÍA MÁRQUEZ ", "epub", 5000)], ["Likely", "Likely"], 1),
         ([("", "", "epub", 1), ("", "", "epub", 1)], ["Not", "Not"], 0),
@@ -54,24 +54,24 @@ def files(spark, rows):
     return spark.createDataFrame(rows, "source_path string, size_bytes bigint, scan_ord int, m_title string, m_author string, m_year string, subject string")
 
 
-CONFIG = Config(General(library_folder="/library"), ["OceanofPDF.com"], [], {"Fiction": ["Sci-Fi"]}, [Rule("author", "Isaac Asimov", "Fiction", "Sci-Fi")])
+CONFIG = Config(General(library_folder="/library"), ["OceanofPDF.com"], [], {"Fiction": ["Nature"]}, [Rule("author", "Mira Stonefell", "Fiction", "Nature")])
 
 
 def test_review(spark):
     rows = [
-        ("/in/Foundation - Isaac Asimov.epub", 1000, 0, "Foundation", "Isaac Asimov", "1951", ""),
-        ("/in/Foundation - Isaac Asimov [signed edition].epub", 1000, 1, "Foundation", "Isaac Asimov", "1951", ""),
+        ("/in/Driftwood - Mira Stonefell.epub", 1000, 0, "Driftwood", "Mira Stonefell", "1962", ""),
+        ("/in/Driftwood - Mira Stonefell [signed edition].epub", 1000, 1, "Driftwood", "Mira Stonefell", "1962", ""),
         ("/in/OceanofPDF.com.pdf", 5, 2, "", "", "", None),
-        ("/in/Dune - Frank Herbert.pdf", 7, 3, None, "", "", ""),
+        ("/in/Kelp - Olga Brandt.pdf", 7, 3, None, "", "", ""),
     ]
     got = review.review(files(spark, rows), CONFIG).orderBy("scan_ord").collect()
     assert [r.status for r in got] == ["Metadata", "Metadata", "Unresolved", "Partial"]
-    assert [r.dest_path for r in got][:2] == ["/library/Fiction/Sci-Fi/Foundation (1951) - Isaac Asimov.epub", "/library/Fiction/Sci-Fi/Foundation (1951) - Isaac Asimov (2).epub"]
+    assert [r.dest_path for r in got][:2] == ["/library/Fiction/Nature/Driftwood (1962) - Mira Stonefell.epub", "/library/Fiction/Nature/Driftwood (1962) - Mira Stonefell (2).epub"]
     assert [r.duplicate_status for r in got] == ["LikelyDuplicate", "LikelyDuplicate", "NotDuplicate", "NotDuplicate"]
-    assert (got[3].title.value, got[3].title.source, got[3].author.value) == ("Dune", "Heuristic", "Frank Herbert")
-    assert got[0].old_filename == "Foundation - Isaac Asimov.epub" and got[0].id == got[0].source_path
+    assert (got[3].title.value, got[3].title.source, got[3].author.value) == ("Kelp", "Heuristic", "Olga Brandt")
+    assert got[0].old_filename == "Driftwood - Mira Stonefell.epub" and got[0].id == got[0].source_path
     seen = review.review(files(spark, rows), CONFIG)
-    assert views.visible(seen, "duplicates").count() == 2 and views.visible(seen, "All", "HERBERT").count() == 1 and views.visible(seen, "All", "  ").count() == 4 and views.visible(seen, "uncategorized").count() == 2
+    assert views.visible(seen, "duplicates").count() == 2 and views.visible(seen, "All", "BRANDT").count() == 1 and views.visible(seen, "All", "  ").count() == 4 and views.visible(seen, "uncategorized").count() == 2
     ready, skipped = views.to_apply(seen)
     assert (ready.count(), skipped.count()) == (3, 1)
     back = views.books_from_views(seen)
@@ -86,12 +86,12 @@ def test_status(evaluate, sources, manual, expected):
 
 
 def test_edits(spark):
-    rows = files(spark, [("/in/x.epub", 1, 0, "dune", "isaac asimov", "1965", "")])
+    rows = files(spark, [("/in/x.epub", 1, 0, "dune", "mira stonefell", "1965", "")])
     books = resolve.categorised(resolve.with_fields(rows, []), CONFIG)
     (r,) = resolve.recomputed(resolve.edited(books, "title", F.lit("the_new-title of x")), CONFIG).collect()
     assert (r.title.value, r.title.source, r.status, r.category) == ("The New Title of X", "Edited", "Edited", "Fiction")
     (r,) = resolve.swapped(books).collect()
-    assert (r.title.value, r.author.value) == ("isaac asimov", "dune")
+    assert (r.title.value, r.author.value) == ("mira stonefell", "dune")
     (r,) = resolve.categorised(books.withColumns({"category_manual": F.lit(True), "category": F.lit("Mine")}), CONFIG).collect()
     assert r.category == "Mine"
 

@@ -16,7 +16,7 @@ def destination(evaluate):
 
 def test_destinations(destination):
     rows = [
-        ("/in/a.epub", "Foundation", "1951", "Isaac Asimov", "Fiction", "Sci-Fi"),
+        ("/in/a.epub", "Driftwood", "1962", "Mira Stonefell", "Fiction", "Nature"),
         ("/in/a.epub", "Mystery Book", "", "", "Uncategorized", ""),
         ("/in/a.epub", "Mystery Book", "2024", "", "Uncategorized", ""),
         ("/in/a.epub", "Mystery Book", "", "Agatha Christie", "Uncategorized", ""),
@@ -27,7 +27,7 @@ def test_destinations(destination):
         ("/in/a.epub", "{author}", "", "me", "X", ""),
     ]
     assert destination(rows) == [
-        "/library/Fiction/Sci-Fi/Foundation (1951) - Isaac Asimov.epub",
+        "/library/Fiction/Nature/Driftwood (1962) - Mira Stonefell.epub",
         "/library/Uncategorized/Mystery Book.epub",
         "/library/Uncategorized/Mystery Book (2024).epub",
         "/library/Uncategorized/Mystery Book - Agatha Christie.epub",
@@ -65,8 +65,8 @@ def test_parts(evaluate):
     assert evaluate(rows, ["p"], paths.file_format(F.col("p"))) == ["gz", "", "hidden", ""]
     assert evaluate(rows, ["p"], paths.stem(F.col("p"))) == ["Name.Tar", "x", "", "b"]
     assert evaluate(rows, ["p"], paths.display_stem(F.col("p"))) == ["Name.Tar", "x", ".hidden", "b"]
-    assert evaluate([("/lib/Fiction/Sci-Fi/x.epub",), ("/lib/x.epub",), ("/lib/Fiction/x.epub",), ("/lib/a/b/c/x.pdf",)], ["p"], F.to_json(paths.library_folders(F.col("p"), "/lib"))) == [
-        '{"category":"Fiction","subcategory":"Sci-Fi"}', '{"category":"","subcategory":""}', '{"category":"Fiction","subcategory":""}', '{"category":"a","subcategory":"b"}',
+    assert evaluate([("/lib/Fiction/Nature/x.epub",), ("/lib/x.epub",), ("/lib/Fiction/x.epub",), ("/lib/a/b/c/x.pdf",)], ["p"], F.to_json(paths.library_folders(F.col("p"), "/lib"))) == [
+        '{"category":"Fiction","subcategory":"Nature"}', '{"category":"","subcategory":""}', '{"category":"Fiction","subcategory":""}', '{"category":"a","subcategory":"b"}',
     ]
 
 

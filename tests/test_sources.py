@@ -15,7 +15,7 @@ def fields(found):
 
 
 def test_epub():
-    assert fields(epub.extract(books.epub())) == ("Foundation", "Isaac Asimov", "1951", "Sci-Fi")
+    assert fields(epub.extract(books.epub())) == ("Driftwood", "Mira Stonefell", "1962", "Nature")
     assert fields(epub.extract(books.epub("0123", "Unknown", "", "")))[:2] == ("", "")
     assert epub.extract(books.epub(title="untitled")).title == "untitled"
     for bad in (b"", b"PK nonsense", books.epub()[:60]):
@@ -40,13 +40,13 @@ def test_epub_covers(manifest, metas, spine, files, expected):
 
 
 def test_mobi():
-    assert fields(mobi.extract(books.mobi())) == ("Foundation", "Isaac Asimov", "1951", "Sci-Fi")
+    assert fields(mobi.extract(books.mobi())) == ("Driftwood", "Mira Stonefell", "1962", "Nature")
     assert fields(mobi.extract(books.mobi(records=()))) == ("Full Name", "", "", "")
     assert mobi.extract(books.mobi(records=((100, b"A"), (100, b"B")))).author == "B"
     got = mobi.extract(books.mobi(images=[b"text", books.JPEG, books.PNG]), cover=True)
     assert (got.cover, got.content_type) == (books.JPEG, "image/jpeg")
-    cut = mobi.extract(books.mobi(cut=16 + 232 + 12 + 8 + len("Isaac Asimov") + 3))
-    assert (cut.title, cut.author, cut.subject) == ("", "Isaac Asimov", "")
+    cut = mobi.extract(books.mobi(cut=16 + 232 + 12 + 8 + len("Mira Stonefell") + 3))
+    assert (cut.title, cut.author, cut.subject) == ("", "Mira Stonefell", "")
     for bad in (b"", bytes(100), books.mobi()[:150]):
         with pytest.raises(Unreadable):
             mobi.extract(bad)
@@ -60,7 +60,7 @@ def info(body: bytes, trailer=INFO):
 
 
 def test_pdf_information():
-    assert info(b"<< /Title (Foundation) /Author (Isaac Asimov \\(revised\\)) /CreationDate (D:19510101) /Subject (Sci-Fi) >>") == ("Foundation", "Isaac Asimov (revised)", "1951", "Sci-Fi")
+    assert info(b"<< /Title (Driftwood) /Author (Mira Stonefell \\(revised\\)) /CreationDate (D:19620101) /Subject (Nature) >>") == ("Driftwood", "Mira Stonefell (revised)", "1962", "Nature")
     assert info(b"<< /Title <FEFF0046 00f6> /Author (A\\351\\n) >>") == ("Fö", "Aé\n", "", "")
     assert info(b"<< /Title <414> /Author (unknown) >>")[:2] == ("A@", "")
     assert info(b"<< /Title (Untitled) >>")[0] == "" and info(b"<< /Title (12345) >>")[0] == ""
@@ -182,18 +182,18 @@ def test_broken_pdf_never_raises():
 
 def test_listing_and_extraction(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    for name, data in {"_OceanofPDF.com_Dune_-_Frank_Herbert.epub": b"broken", "book.EPUB": books.epub(title="foundation_and_empire.", creator="A ;B"), "sub/b.azw3": books.mobi(), ".h.mobi": books.mobi(), "notes.txt": b"x", "c.cbz": b"x"}.items():
+    for name, data in {"_OceanofPDF.com_Kelp_-_Frank_Herbert.epub": b"broken", "book.EPUB": books.epub(title="driftwood_and_empire.", creator="A ;B"), "sub/b.azw3": books.mobi(), ".h.mobi": books.mobi(), "notes.txt": b"x", "c.cbz": b"x"}.items():
         (tmp_path / name).write_bytes(data)
     files = listing.listing(spark, str(tmp_path))
-    assert [r.source_path[len(str(tmp_path)) + 1 :] for r in files.orderBy("scan_ord").collect()] == [".h.mobi", "_OceanofPDF.com_Dune_-_Frank_Herbert.epub", "book.EPUB", "sub/b.azw3"]
+    assert [r.source_path[len(str(tmp_path)) + 1 :] for r in files.orderBy("scan_ord").collect()] == [".h.mobi", "_OceanofPDF.com_Kelp_-_Frank_Herbert.epub", "book.EPUB", "sub/b.azw3"]
     got = {r.source_path.rpartition("/")[2]: r for r in extract.extracted(files, cover=True).collect()}
-    assert (got["book.EPUB"].title, got["book.EPUB"].author, got["book.EPUB"].ok) == ("Foundation and Empire", "A, B", True)
-    bad = got["_OceanofPDF.com_Dune_-_Frank_Herbert.epub"]
+    assert (got["book.EPUB"].title, got["book.EPUB"].author, got["book.EPUB"].ok) == ("Driftwood and Empire", "A, B", True)
+    bad = got["_OceanofPDF.com_Kelp_-_Frank_Herbert.epub"]
     assert (bad.ok, bad.title, bad.cover) == (False, "", None) and "Unreadable" in bad.error
     with pytest.raises(OSError):
         list(listing.walk(str(tmp_path / "missing")))
     content = spark.createDataFrame([("s3://far/x.azw3", bytearray(books.mobi()))], "source_path string, content binary")
-    assert extract.extracted(content).first().title == "Foundation"
+    assert extract.extracted(content).first().title == "Driftwood"
 
 
 def test_sniff():
