@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,31 @@ def test_jaccard(docs, prose, monkeypatch, n, num, den, unit, part):
     assert sum(r.doc_id is None for r in got) == 2
 
 
+def test_jaccard_hot_tokens(docs, prose, monkeypatch):
+    """Tokens that the estimate misses are put last once they are counted, and no link is lost."""
+    monkeypatch.setattr(jaccard, "REPORTED", 0)
+    monkeypatch.setattr(jaccard, "HOT", 200)
+    monkeypatch.setattr(jaccard, "UNIT_ROWS", 8)
+    phrase, counted = "every page ends with these words", []
+    rows = [(k, f"{prose(5, k)} {phrase} {prose(4, 500 + k)}") for k in range(300)] + [(1000 + k, f"{prose(60, k % 4)} {k}") for k in range(30)]
+    later = jaccard.Order.later
+    monkeypatch.setattr(jaccard.Order, "later", lambda self, times: counted.append(times) or later(self, times))
+    got = jaccard.jaccard_classes(docs(rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == classes(rows, 4, 85, 100)
+    assert counted and min(counted[0].values()) > 200**0.5
+
+
+def test_meetings_of_a_hot_token_are_held_back():
+    many = np.arange(3000, dtype=np.int64)
+    sets = [(i, np.sort(np.concatenate([[np.uint64(7)], np.uint64(1000) + np.uint64(20) * np.uint64(i) + np.arange(9, dtype=np.uint64)]))) for i in many.tolist()]
+    head = np.array([len(sets), len(sets)], np.int64)
+    ids, groups = many, (many + 10).astype(np.uint64)
+    payload = b"".join(x.tobytes() for x in (head, ids, groups, np.full(len(sets), 10, np.int64), np.zeros(len(sets), np.int64), np.full(len(sets), 7, np.uint64), np.arange(len(sets), dtype=np.uint32), np.full(len(sets), 10, np.uint32)))
+    table = pa.table({"part": [0], "payload": pa.array([payload], pa.binary())})
+    held = jaccard._matrix(85, 100, True)(None, table).to_pylist()
+    assert [(r["grp"], r["shared"]) for r in held] == [(7, -3000)]
+
+
 def test_jaccard_empty(docs):
     assert jaccard.jaccard_classes(docs(["x"]).where("false")).count() == 0
     assert [tuple(r) for r in jaccard.jaccard_classes(docs([None, "", "a"])).orderBy("doc_id").collect()] == [(0, 0, 0), (1, 0, 1), (2, 1, 2)]
