@@ -59,6 +59,40 @@ def test_mix(docs, prose):
     assert {(r.doc_id, r.taken) for r in got} == {(r.doc_id, r.taken) for r in again}
 
 
+def queued(rows, places):
+    """Weighted fair queueing, literally: all copies in one list by finish time, taken while more than half of one fits."""
+    sizes = {k: len((t or "").encode().split()) for k, t, _ in rows}
+    whole, by_source = defaultdict(int), defaultdict(list)
+    for k, _, s in rows:
+        whole[s] += sizes[k]
+        by_source[s].append(k)
+    want, copies = targets(whole), []
+    for s, ids in by_source.items():
+        for copy in range(2):
+            sent = copy * whole[s]
+            for k in sorted(ids, key=lambda k: (places[k], k)):
+                sent += sizes[k]
+                if sizes[k]:
+                    copies.append((sent / want[s], places[k], k))
+    left, out = 1.5 * sum(whole.values()), defaultdict(int)
+    for _, _, k in sorted(copies):
+        if sizes[k] / 2 > left:
+            break
+        left -= sizes[k]
+        out[k] += sizes[k]
+    return {k: out[k] for k in sizes}
+
+
+def test_taken_as_in_a_queue(docs, prose):
+    rows = rows_of(prose)
+    frame = docs(rows)
+    key = F.xxhash64(F.lit(20), F.col("doc_id"), F.xxhash64("text"))
+    places = {r.doc_id: (r.h % 2**64) >> 11 for r in frame.select("doc_id", key.alias("h")).collect()}
+    places = {k: x / (1 << 53) for k, x in places.items()}
+    got = {r.doc_id: r.taken for r in mixing.mix_sources(frame, slice_rows=16).collect()}
+    assert got == queued(rows, places)
+
+
 def test_cut_by_narrowing(docs, prose, monkeypatch):
     """However few rows may be sorted at once, the same copies are taken."""
     frame = docs(rows_of(prose)[:200])
