@@ -137,7 +137,8 @@ def _slots(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """labels: doc_id, quality.  Learns from rows that are not held out, at most ``sample`` of each class."""
+    """labels: doc_id, quality.  Learns from rows that are not held out, at most ``sample`` of each class; of a doc_id with
+    several labels the largest counts, of one with several texts the least."""
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     order = F.xxhash64(F.lit(5), "doc_id")
@@ -147,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         picked = got if picked is None else picked.unionByName(got)
     picked = common.written(picked.select(F.col("doc_id").alias("l_id"), "label"), "classifier-sample")  # at most 2 * sample rows
     rows = docs.select("doc_id", common.text_bytes().alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("doc_id", "label", "text")
-    rows = rows.dropDuplicates(["doc_id"]).select("label", "text").mapInArrow(_slots, "label int, slots binary")
+    # of a doc_id that has several texts the least one counts, so that reruns agree
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text")).select("label", "text").mapInArrow(_slots, "label int, slots binary")
     got = sorted((bytes(r["slots"]), r["label"]) for r in rows.collect())  # the sample; in an order that no partitioning changes
     return fit([np.frombuffer(s, np.int32) for s, _ in got], np.array([x for _, x in got]))
 

@@ -97,3 +97,33 @@ def test_dual_coordinate_descent_separates():
     rows = [np.unique(rng.integers(0, 50, 12) + (100 if k % 2 else 0)).astype(np.int32) for k in range(80)]
     model = classifier.fit(rows, np.arange(80) % 2)
     assert all((model.score(r) > 0.5) == (k % 2 == 1) for k, r in enumerate(rows))
+
+
+def test_fit_against_plain_solver():
+    """The hinge-loss objective of the fit against that of subgradient steps on a dense matrix."""
+    rng, rows, labels = np.random.default_rng(4), [], []
+    for k in range(80):
+        y = k % 2
+        chance = np.where(np.arange(40) % 2 == y, 0.45, 0.3)
+        rows.append(np.flatnonzero(rng.random(40) < chance).astype(np.int32))
+        labels.append(y)
+    model = classifier.fit(rows, np.array(labels), rounds=300)
+    scale = np.sqrt(model.squares[:40].astype(float))
+    x, y = np.zeros((80, 41)), np.where(np.array(labels) > 0, 1.0, -1.0)
+    for k, row in enumerate(rows):
+        x[k, row] = scale[row] / (np.sqrt((scale[row] ** 2).sum()) or 1)
+    x[:, 40] = 1  # the bias
+
+    def objective(w):
+        return 0.5 * w @ w + np.maximum(0, 1 - y * (x @ w)).sum()
+
+    known = scale > 0
+    fitted = np.zeros(41)
+    fitted[:40][known] = model.weights[:40][known] / scale[known]
+    fitted[40] = model.bias
+    w, mean = np.zeros(41), np.zeros(41)
+    for t in range(1, 40_001):
+        w = w - (w - x.T @ (y * (y * (x @ w) < 1))) / t
+        if t > 20_000:
+            mean += w / 20_000
+    assert objective(fitted) <= 1.005 * objective(mean)
