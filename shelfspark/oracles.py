@@ -215,5 +215,7 @@ select scan_ord, case when p_size < 40 then p_size % 3 <> 0 end as ok, case when
         "redo_order": f"with {LOG} select cast(row_number() over (order by log_ord) as integer) as place, old_path, new_path from l where batch_id = 'b7' and undone",
         "warning_order": f"with {LOG} select cast(row_number() over (order by log_ord desc) as integer) as place, batch_id as message, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as timestamp_text from l",
         "filled_fields": f"with {resolved()} select scan_ord, title, author, year from rx",
+        "extracted_fields": f"""with {titled("part", "p_partkey", "p_name")}, x as (select p.p_partkey, {q.FORMAT} as format, {q.BROKEN} as broken, tx.title as title, {authors(q.BOOK_AUTHOR)} as author, '' || (1950 + p_size) as year, p_type as subject from part p join tx on tx.p_partkey = p.p_partkey)
+select '/in/' || p_partkey || '.' || format as source_path, not broken as ok, case when broken then '' else title end as title, case when broken then '' else author end as author, case when broken then '' else year end as year, case when broken then '' else subject end as subject from x""",
         "elapsed_text": "with x as (select p_partkey, cast(floor(p_size * p_size / 4) as bigint) as s from part) select p_partkey, case when s < 60 then s || 's' else (s // 60) || 'm ' || (s % 60) || 's' end as elapsed from x",
     }

@@ -49,6 +49,11 @@ class Catalogue:
         if self.progress:
             self.progress(done, total)
 
+    def _dealt(self, files: DataFrame) -> DataFrame:
+        """In as many tasks as the configuration allows at once; as they are if it sets no limit."""
+        n = self.config.general.scan_concurrency
+        return files.coalesce(n) if n else files
+
     def scan(self) -> DataFrame:
         """The review of the working folder, and its category warnings appended to their log."""
         c = self.config
@@ -58,7 +63,7 @@ class Catalogue:
         total = files.count()
         self._report(0, total)
         limit = c.general.pdf_cover_page_limit or 10
-        found = extract.extracted(files, c.hyphen_exceptions, page_limit=limit).select("source_path", *[F.col(f).alias(f"m_{f}") for f in resolve.FIELDS], "subject")
+        found = extract.extracted(self._dealt(files), c.hyphen_exceptions, page_limit=limit).select("source_path", *[F.col(f).alias(f"m_{f}") for f in resolve.FIELDS], "subject")
         reviewed = review.review(files.join(found, "source_path"), c).orderBy("scan_ord").persist()  # files are read once
         try:
             state.append_warnings(review.warnings(reviewed), c.general.log_folder)
@@ -113,7 +118,7 @@ class Catalogue:
         old = self.cache.load()
         missed = library.cache_misses(files, old).persist()
         limit = c.general.pdf_cover_page_limit or 10
-        found = extract.extracted(missed, c.hyphen_exceptions, cover=True, page_limit=limit).persist()
+        found = extract.extracted(self._dealt(missed), c.hyphen_exceptions, cover=True, page_limit=limit).persist()
         written = covers.written_covers(found, self.cover_folder)
         o = self.overrides.table(self.spark)
         wanted = missed.join(o.where("type = 'embedded'").select("source_path", "page"), "source_path")
@@ -127,10 +132,13 @@ class Catalogue:
         out = files.join(hits.unionByName(new.select("source_path", *fields)), "source_path").select("source_path", *fields, "size", "scan_ord")
         out = out.orderBy("scan_ord").persist()
         out.count()  # before the cache's old version goes
+        following = library.cache_next(old, files, new).persist()
         try:
-            self.cache.save_if_changed(old, library.cache_next(old, files, new).persist())
+            self.cache.save_if_changed(old, following)
         except OSError:
             pass  # the next scan reads the files again
+        for done in (files, missed, found, pages, new, following):
+            done.unpersist()
         return out
 
     def cover_candidates(self, source_path: str) -> list[dict]:
@@ -172,7 +180,7 @@ class Catalogue:
         self.cache.reset()
 
     def scan_concurrency(self) -> int:
-        """What is configured, else the cores that Spark has."""
+        """How many files are read at once: what is configured, else the cores that Spark has."""
         return self.config.general.scan_concurrency or self.spark.sparkContext.defaultParallelism
 
     def set_scan_concurrency(self, n: int) -> None:

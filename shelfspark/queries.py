@@ -15,6 +15,7 @@ from .config import Config, General, Rule
 from .functions import paths, rules, text
 from .operators import dedupe, library, oplog, resolve, views
 from .plans import review
+from .sources import extract, samples
 
 TAGS = ["OceanofPDF.com", "libgen.li"]
 HYPHENS = ["Red-Widget", "Blue-Bolt"]
@@ -56,6 +57,7 @@ ORDER_BATCH = "o_custkey % 400"
 SPLIT_CATEGORY, SPLIT_SUB = "case when p_size % 4 = 0 then '' else p_type end", "case when p_size % 4 = 0 or p_size % 5 = 0 then '' else p_brand end"
 SPLIT_PATH = f"'/home/x//library/' || ({SPLIT_CATEGORY}) || case when p_size % 2 = 0 then '/' else chr(92) end || ({SPLIT_SUB}) || '/' || p_name || '.epub'"
 DISPLAY_PATH = "'/a.b/' || case p_partkey % 5 when 0 then '.' || p_brand when 1 then p_name || '.tar.gz' when 2 then p_name else p_name || '.epub' end || case when p_size % 9 = 0 then '/' else '' end"
+BOOK_AUTHOR, BROKEN = "p_brand || case when p_size % 2 = 0 then ';Ann Lee' else '' end", "p_size % 10 = 7 and p_size % 4 <> 1"
 EVENT_BATCH = "'20240101-' || (user_id % 7) || case when event_type = 'error' then 'x' when user_id % 11 = 0 then ' ' else '' end"
 
 
@@ -322,6 +324,15 @@ def filled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.filled(files, TAGS).select("scan_ord", "title", "author", "year")
 
 
+def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EPUB, MOBI, AZW3 and PDF files that hold a row's metadata, and some that are cut short, read again."""
+    books = _read(spark, sf_dir, "part").selectExpr(f"'/in/' || p_partkey || '.' || ({FORMAT}) as source_path", f"{FORMAT} as format", "p_name as title", f"{BOOK_AUTHOR} as author", "(1950 + p_size) || '-05-30' as date", "p_type as subject", f"{BROKEN} as broken")
+    made = samples.files(books.where("not broken"))
+    cut = books.where("broken").select("source_path", F.lit("%no book").cast("binary").alias("content"))
+    got = extract.extracted(made.unionByName(cut), HYPHENS)
+    return got.select("source_path", "ok", "title", "author", "year", "subject")
+
+
 def elapsed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").select("p_partkey", text.elapsed(F.col("p_size") * F.col("p_size") / 4).alias("elapsed"))
 
@@ -329,7 +340,7 @@ def elapsed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     dup_detect, review_filter, stem_parse, title_format, clean_fields, rule_categorise, subject_categorise, provenance_status, dest_path, dest_disambiguate, scan_review, recompute, apply_split, known_destinations,
     batch_list, batch_entries, batch_next_id, undo_fold, undo_order, cache_hit, cache_miss, cache_keep, cache_next, shelves, shelf_counts, library_search, library_categories, library_subcategories, cover_overrides, path_partition, cover_names,
-    review_select, review_all_checked, swap_fields, dest_split, display_stems, apply_results, redo_order, warning_order, filled_fields, elapsed_text,
+    review_select, review_all_checked, swap_fields, dest_split, display_stems, apply_results, redo_order, warning_order, filled_fields, extracted_fields, elapsed_text,
 )
 
 
