@@ -47,6 +47,11 @@ def batch_views(log: DataFrame) -> DataFrame:
     return out.withColumn("timestamp_text", text.rfc3339(F.col("timestamp"))).orderBy(F.col("first_ord").desc())
 
 
+def batch_rows(log: DataFrame) -> DataFrame:
+    """The entries of batches one by one, each with its batch's summary, for batches that are too long for one row."""
+    return log.join(batches(log).withColumnRenamed("timestamp", "batch_timestamp"), "batch_id")
+
+
 def next_batch_id(log: DataFrame, today: str) -> DataFrame:
     """One row, next_batch_id: today's prefix (yyyyMMdd) with one more than the largest number used."""
     rest = F.when(F.startswith("batch_id", F.lit(today + "-")), F.substr("batch_id", F.lit(len(today) + 2)))

@@ -181,6 +181,8 @@ select scan_ord, title, {status()} as status, {category(0)} as category from g""
 select category, subcategory, (category, subcategory) in ({", ".join(f"('{c}', '{s}')" for c, subs in q.CONFIG.categories.items() if c != "Uncategorized" for s in subs or [""])}) as known_destination, count(*) as n from k group by 1, 2, 3""",
         "batch_list": f"with {LOG} select batch_id, strftime(arg_min(ts, log_ord), '%Y%m%d') as first_day, count(*) as entry_count, count(*) filter (undone) as undone_count, count(*) filter (not undone) as remaining_count, min(log_ord) as first_ord from l group by batch_id",
         "batch_entries": f"with {LOG} select batch_id, strftime(arg_min(ts, log_ord), '%Y-%m-%dT%H:%M:%SZ') as timestamp_text, string_agg(log_ord || case when undone then '-' else '+' end, ',' order by log_ord) as entries from l group by batch_id",
+        "batch_rows": f"""with {LOG}, b as (select batch_id, strftime(arg_min(ts, log_ord), '%Y%m%d') as first_day, count(*) as entry_count, count(*) filter (undone) as undone_count from l group by batch_id)
+select log_ord, batch_id, first_day, entry_count, undone_count, undone from l join b using (batch_id)""",
         "batch_next_id": f"""with x as (select {q.EVENT_BATCH} as batch_id from events)
 select '20240101-' || (1 + coalesce(max(try_cast(substr(batch_id, 10) as bigint)) filter (regexp_full_match(batch_id, '20240101-[+-]?[0-9]+')), 0)) as next_batch_id from x""",
         "undo_fold": f"""with {LOG},

@@ -173,6 +173,11 @@ def batch_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("batch_id", "timestamp_text", F.array_join(F.transform("entries", lambda e: F.concat(e["log_ord"].cast("string"), F.when(e["undone"], "-").otherwise("+"))), ",").alias("entries"))
 
 
+def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = oplog.batch_rows(_log(spark, sf_dir))
+    return got.select("log_ord", "batch_id", text.batch_date(F.col("batch_timestamp")).alias("first_day"), "entry_count", "undone_count", "undone")
+
+
 def batch_next_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _read(spark, sf_dir, "events").selectExpr("event_id as log_ord", f"{EVENT_BATCH} as batch_id")
     return oplog.next_batch_id(log, "20240101")
@@ -339,7 +344,7 @@ def elapsed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     dup_detect, review_filter, stem_parse, title_format, clean_fields, rule_categorise, subject_categorise, provenance_status, dest_path, dest_disambiguate, scan_review, recompute, apply_split, known_destinations,
-    batch_list, batch_entries, batch_next_id, undo_fold, undo_order, cache_hit, cache_miss, cache_keep, cache_next, shelves, shelf_counts, library_search, library_categories, library_subcategories, cover_overrides, path_partition, cover_names,
+    batch_list, batch_entries, batch_rows, batch_next_id, undo_fold, undo_order, cache_hit, cache_miss, cache_keep, cache_next, shelves, shelf_counts, library_search, library_categories, library_subcategories, cover_overrides, path_partition, cover_names,
     review_select, review_all_checked, swap_fields, dest_split, display_stems, apply_results, redo_order, warning_order, filled_fields, extracted_fields, elapsed_text,
 )
 
