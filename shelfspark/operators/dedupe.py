@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import paths, text
 
@@ -28,16 +29,19 @@ def duplicates(books: DataFrame) -> DataFrame:
     likely = (F.col("n") > 1) | close(F.col("_before")) | close(F.col("_after"))
     sizes = sizes.where("_all > 1").select(F.col("_key").alias("_k"), F.col("format").alias("_f"), F.col("size_bytes").alias("_s"), F.when(likely, LIKELY).otherwise(POSSIBLE).alias("_status"))
     same = (F.col("_key") == F.col("_k")) & F.col("format").eqNullSafe(F.col("_f")) & F.col("size_bytes").eqNullSafe(F.col("_s"))
-    # rows without title and author are in no group, and do not travel to one task to be told so
+    # rows without title and author are in no group: each goes its own way instead of meeting under one key
     blank = F.coalesce(F.col("_key") == "|", F.lit(True))
-    out = keyed.where(~blank).join(sizes, same, "left").unionByName(keyed.where(blank).withColumn("_status", F.lit(None).cast("string")), allowMissingColumns=True)
+    plain = [F.col(f"`{f.name}`") for f in books.schema if not isinstance(f.dataType, T.MapType)]
+    out = keyed.withColumn("_key", F.when(blank, F.concat(F.lit("||"), F.xxhash64(*plain).cast("string"))).otherwise(F.col("_key")))
+    out = out.join(sizes, same, "left")
     group = F.when(F.col("_status").isNotNull(), F.concat(F.lit("dup-"), F.substring(F.sha2("_key", 256), 1, 12))).otherwise("")
     return out.withColumns({"duplicate_group_id": group, "duplicate_status": F.coalesce("_status", F.lit(NOT))}).drop("_key", "_k", "_f", "_s", "_status")
 
 
 def distinct_destinations(books: DataFrame, order: str = "scan_ord") -> DataFrame:
     """The n-th row with a destination path, in scan order, gets ' (n)' before the extension; empty paths stay."""
+    # rows without a path do not meet
     empty = F.coalesce(F.col("dest_path") == "", F.lit(True))
-    nth = F.row_number().over(Window.partitionBy("dest_path").orderBy(order))
-    out = books.where(~empty).withColumn("_n", nth).withColumn("dest_path", paths.numbered(F.col("dest_path"), F.col("_n"))).drop("_n")
-    return out.unionByName(books.where(empty))
+    nth = F.row_number().over(Window.partitionBy("dest_path", F.when(empty, F.col(order))).orderBy(order))
+    out = books.withColumn("_n", nth)
+    return out.withColumn("dest_path", F.when(empty, F.col("dest_path")).otherwise(paths.numbered(F.col("dest_path"), F.col("_n")))).drop("_n")
