@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,10 @@ from ..functions import text
 from . import epub, mobi, pdf
 from .record import Found, Unreadable
 
+#: Results that are handed over together, at most, and the bytes of their images and texts from which they are.
+ROWS, BYTES = 1000, 16 << 20
+IMAGES = (("source_path", "string"), ("page", "int"), ("image", "binary"), ("content_type", "string"))
+
 
 def read_book(path: str, data: bytes, cover: bool, page_limit: int) -> Found:
     kind = path.rpartition("/")[2].rpartition(".")[2].lower()
@@ -29,19 +33,38 @@ def read_book(path: str, data: bytes, cover: bool, page_limit: int) -> Found:
     raise Unreadable(f"unsupported format {kind!r}")
 
 
-def _bytes(row) -> bytes:
-    content = getattr(row, "content", None)
+def _bytes(row: dict) -> bytes:
+    content = row.get("content")
     if content is not None:
-        return bytes(content)
-    with open(row.source_path, "rb") as f:
+        return content
+    with open(row["source_path"], "rb") as f:
         return f.read()
 
 
-def _each(rows: Iterator[pd.DataFrame], one: Callable, columns: list[str]) -> Iterator[pd.DataFrame]:
-    """One file at a time in memory, and its result only."""
-    for batch in rows:
-        for row in batch.itertuples(index=False):
-            yield pd.DataFrame(list(one(row)), columns=columns)
+def _each(batches: Iterator[pa.RecordBatch], one: Callable, kinds: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
+    """One file at a time in memory, and results of ROWS rows or about BYTES bytes at most."""
+    schema = pa.schema(kinds)
+    for batch in batches:
+        found, held = [], 0
+        for k in range(batch.num_rows):
+            for result in one({name: batch.column(name)[k].as_py() for name in batch.schema.names}):
+                found.append(result)
+                held += sum(len(x) for x in result if isinstance(x, str | bytes))
+                if len(found) >= ROWS or held >= BYTES:
+                    yield _batch(found, schema)
+                    found, held = [], 0
+        if found:
+            yield _batch(found, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _kinds(*columns: tuple[str, str]) -> tuple[list[tuple[str, pa.DataType]], str]:
+    """Columns for Arrow, and the same for Spark."""
+    arrow = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary()}
+    return [(n, arrow[k]) for n, k in columns], ", ".join(f"{n} {k}" for n, k in columns)
 
 
 def _inputs(files: DataFrame) -> DataFrame:
@@ -52,17 +75,17 @@ def extracted(files: DataFrame, hyphen_exceptions: list[str] = (), cover: bool =
     """source_path, ok, title, author, year, subject, error, and with cover: cover, content_type.
 
     Titles are cleaned and set in title case, authors cleaned; a failed file has empty fields."""
-    names = ["source_path", "ok", "title", "author", "year", "subject", "error"] + (["cover", "content_type"] if cover else [])
+    columns = [("source_path", "string"), ("ok", "boolean"), *[(c, "string") for c in ("title", "author", "year", "subject", "error")], *([("cover", "binary"), ("content_type", "string")] if cover else [])]
+    kinds, ddl = _kinds(*columns)
 
     def one(row):
         try:
-            got, error = read_book(row.source_path, _bytes(row), cover, page_limit), ""
+            got, error = read_book(row["source_path"], _bytes(row), cover, page_limit), ""
         except Exception as e:  # a broken file must not end a scan
             got, error = Found(), f"{type(e).__name__}: {e}"
-        yield (row.source_path, not error, got.title, got.author, got.year, got.subject, error, got.cover, got.content_type)[: len(names)]
+        yield (row["source_path"], not error, got.title, got.author, got.year, got.subject, error, got.cover, got.content_type)[: len(kinds)]
 
-    kinds = "source_path string, ok boolean, title string, author string, year string, subject string, error string" + (", cover binary, content_type string" if cover else "")
-    out = _inputs(files).mapInPandas(lambda rows: _each(rows, one, names), kinds)
+    out = _inputs(files).mapInArrow(lambda rows: _each(rows, one, kinds), ddl)
     title = text.format_title(text.clean_field(F.col("title")), list(hyphen_exceptions))
     return out.withColumns({"title": title, "author": text.author_separators(text.clean_field(F.col("author")))})
 
@@ -76,10 +99,11 @@ def cover_candidates(files: DataFrame, page_limit: int = pdf.PAGE_LIMIT) -> Data
         except Exception:
             found = []
         for page, image, kind in found:
-            yield row.source_path, page, image, kind
+            yield row["source_path"], page, image, kind
 
     pdfs = _inputs(files.where(F.lower("source_path").endswith(".pdf")))
-    return pdfs.mapInPandas(lambda rows: _each(rows, one, ["source_path", "page", "image", "content_type"]), "source_path string, page int, image binary, content_type string")
+    kinds, ddl = _kinds(*IMAGES)
+    return pdfs.mapInArrow(lambda rows: _each(rows, one, kinds), ddl)
 
 
 def page_covers(files: DataFrame) -> DataFrame:
@@ -87,11 +111,12 @@ def page_covers(files: DataFrame) -> DataFrame:
 
     def one(row):
         try:
-            found = pdf.page_cover(_bytes(row), int(row.page))
+            found = pdf.page_cover(_bytes(row), int(row["page"]))
         except Exception:
             found = None
         if found:
-            yield row.source_path, int(row.page), *found
+            yield row["source_path"], int(row["page"]), *found
 
     inputs = files.select("source_path", "page", *[c for c in ("content",) if c in files.columns])
-    return inputs.mapInPandas(lambda rows: _each(rows, one, ["source_path", "page", "image", "content_type"]), "source_path string, page int, image binary, content_type string")
+    kinds, ddl = _kinds(*IMAGES)
+    return inputs.mapInArrow(lambda rows: _each(rows, one, kinds), ddl)

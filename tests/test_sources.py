@@ -2,9 +2,10 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from shelfspark.sources import epub, extract, images, listing, mobi, pdf, pdf_images, pdf_objects
+from shelfspark.sources import epub, extract, images, listing, mobi, pdf, pdf_images, pdf_objects, samples
 from shelfspark.sources.record import Unreadable
 
 from . import books
@@ -198,3 +199,24 @@ def test_listing_and_extraction(spark, tmp_path):
 
 def test_sniff():
     assert [images.sniff(x) for x in (books.JPEG, books.PNG, b"GIF87a", b"text")] == ["image/jpeg", "image/png", "image/gif", None]
+
+
+def test_results_are_handed_over_together(spark):
+    """Not a batch for each file, and with covers no more than BYTES or so at once."""
+    names = [("source_path", pa.string()), ("cover", pa.binary())]
+    rows = pa.record_batch({"source_path": [f"/{k}.epub" for k in range(2500)]})
+    got = list(extract._each([rows], lambda r: [(r["source_path"], None)], names))
+    assert [b.num_rows for b in got] == [1000, 1000, 500]
+    assert pa.Table.from_batches(got).column("source_path").to_pylist() == rows.column("source_path").to_pylist()
+    got = list(extract._each([rows.slice(0, 8)], lambda r: [(r["source_path"], bytes(extract.BYTES // 2))] * 2, names))
+    assert [b.num_rows for b in got] == [2] * 8
+    assert list(extract._each([rows], lambda r: [], names)) == []
+
+
+def test_samples_are_dealt_out(spark):
+    """One partition of rows that name books becomes as many tasks as shuffles have."""
+    books = spark.createDataFrame([(f"/in/{k}.epub", "epub", f"t{k}", "a", "2001-05-30", "s") for k in range(400)], "source_path string, format string, title string, author string, date string, subject string").coalesce(1)
+    made = samples.files(books)
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = extract.extracted(made).orderBy("source_path").collect()
+    assert sorted((r.source_path, r.title) for r in got) == sorted((f"/in/{k}.epub", f"T{k}") for k in range(400)) and all(r.ok for r in got)
